@@ -272,11 +272,16 @@ def _over(keys: Keys, *more: Column) -> WindowSpec:
     return Window.partitionBy(*keys.cross, *more)
 
 
+def peers(ordered: WindowSpec) -> WindowSpec:
+    """Rows tied with the current one; same sort as the ordered window it comes from."""
+    return ordered.rangeBetween(Window.currentRow, Window.currentRow)
+
+
 def rank(x, keys: Keys = KEYS) -> Signal:
     """Percentile rank with average ties; missing values neither rank nor count."""
     x = as_signal(x)
-    below = F.rank().over(keys.over_cross().orderBy(x.col.asc_nulls_last()))
-    ties = F.count(x.col).over(_over(keys, x.col))
+    ordered = keys.over_cross().orderBy(x.col.asc_nulls_last())
+    below, ties = F.rank().over(ordered), F.count(x.col).over(peers(ordered))
     share = F.try_divide(below + (ties - 1) / 2.0, F.count(x.col).over(keys.over_cross()))
     return Signal(F.when(x.col.isNotNull(), share), x.lookback)
 

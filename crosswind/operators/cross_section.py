@@ -88,9 +88,9 @@ class CrossSection:
         """Average-tie rank 1..n of the non-null values (null stays null)."""
         by = self.keys.cross
         if not self.wide:
-            below = F.rank().over(Window.partitionBy(*by).orderBy(F.col(x).asc_nulls_last()))
-            ties = F.count(x).over(Window.partitionBy(*by, x))
-            return df.withColumn(out, F.when(F.col(x).isNotNull(), below + (ties - 1) / 2.0))
+            ordered = Window.partitionBy(*by).orderBy(F.col(x).asc_nulls_last())
+            mean_place = F.rank().over(ordered) + (F.count(x).over(S.peers(ordered)) - 1) / 2.0
+            return df.withColumn(out, F.when(F.col(x).isNotNull(), mean_place))
         placed = self.ordinal(df.where(F.col(x).isNotNull()).select(*self.keys.row, x), x, "_pos", "_n")
         ties = placed.groupBy(*by, x).agg(((F.min("_pos") + F.max("_pos")) / 2.0).alias(out))
         return df.join(ties, [*by, x], "left").select(*df.columns, out)
