@@ -1,4 +1,4 @@
 """Registered queries, one per operator."""
 
-from crosswind.plans import eval_queries, panel_queries, score_queries  # noqa: F401
+from crosswind.plans import backtest_queries, eval_queries, panel_queries, score_queries  # noqa: F401
 from crosswind.plans.registry import ORACLES, QUERIES  # noqa: F401
