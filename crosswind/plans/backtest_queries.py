@@ -178,16 +178,16 @@ seg AS (SELECT a.run_id, a.split, purged, COALESCE(periods, 0) AS periods, expos
 BASE = (CAL_SQL, RUNS_SQL, CORE_SQL)
 
 
-def table(name: str, pick, columns: str, source: str, *ctes: str, where: str = "") -> None:
+def table(name: str, pick, columns: str, source: str, *ctes: str, reuse: bool = False) -> None:
     """Register one table of the backtest; ``columns`` marks floats to round with a ~."""
     names = [c.strip() for c in columns.split(",")]
 
     def run(spark, d):
-        df = pick(backtest(spark, d))
+        df = pick(backtest(spark, d, reuse))
         return df.select(*[r6(c[1:]).alias(c[1:]) if c.startswith("~") else F.col(c) for c in names])
 
     shown = ", ".join(f"ROUND({c[1:]}, 6) AS {c[1:]}" if c.startswith("~") else c for c in names)
-    register(name, run, panel_sql(f"SELECT {shown} FROM {source} {where}", *BASE, *ctes))
+    register(name, run, panel_sql(f"SELECT {shown} FROM {source}", *BASE, *ctes))
 
 
 def grid_only(b):
@@ -225,7 +225,7 @@ register(
         *BASE,
     ),
 )
-table("b10_rebalance_rate", lambda b: b.turnover, "run_id, period_id, ~rebalance_rate", "ptab")
+table("b10_rebalance_rate", lambda b: b.turnover, "run_id, period_id, ~rebalance_rate", "ptab", reuse=True)
 register(
     "b11_weights",
     lambda spark, d: backtest(spark, d).legs.select("run_id", "signal_idx", "instrument", r6("weight").alias("weight")),
@@ -234,26 +234,24 @@ register(
     ),
 )
 table(
-    "b12_turnover", lambda b: b.turnover, "run_id, period_id, ~traded_notional, ~turnover_rate, ~initial_build_turnover, ~rebalance_turnover", "ptab"
-)
-table("b13_transaction_cost", lambda b: b.period_table, "run_id, period_id, ~cost, ~net_return", "ptab")
+    "b12_turnover", lambda b: b.turnover, "run_id, period_id, ~traded_notional, ~turnover_rate, ~initial_build_turnover, ~rebalance_turnover", "ptab", reuse=True)
+table("b13_transaction_cost", lambda b: b.period_table, "run_id, period_id, ~cost, ~net_return", "ptab", reuse=True)
 table("b14_leg_daily_marks", lambda b: b.leg_marks, "run_id, signal_idx, is_long, idx, fresh, ~leg_return", "marks", NAV_SQL)
-table("b15_period_nav", lambda b: b.period_nav, "run_id, period_id, idx, ~gross_period_nav, ~net_period_nav", "pnav", NAV_SQL)
-table("b16_nav_compounding", lambda b: b.nav, "run_id, period_id, trade_date, ~gross_nav, ~net_nav", "nav", NAV_SQL)
+table("b15_period_nav", lambda b: b.period_nav, "run_id, period_id, idx, ~gross_period_nav, ~net_period_nav", "pnav", NAV_SQL, reuse=True)
+table("b16_nav_compounding", lambda b: b.nav, "run_id, period_id, trade_date, ~gross_nav, ~net_nav", "nav", NAV_SQL, reuse=True)
 table(
     "b17_daily_ledger", lambda b: b.ledger, "run_id, period_id, trade_date, day_no, ~gross_nav, ~net_nav, ~daily_gross_return, ~daily_net_return",
-    "ledger", NAV_SQL,
-)
+    "ledger", NAV_SQL, reuse=True)
 register(
     "b18_active_risk",
-    lambda spark, d: backtest(spark, d).active_risk.select("run_id", r6("tracking_error").alias("tracking_error"), r6("information_ratio").alias("information_ratio")),
+    lambda spark, d: backtest(spark, d, True).active_risk.select("run_id", r6("tracking_error").alias("tracking_error"), r6("information_ratio").alias("information_ratio")),
     panel_sql(
         "SELECT run_id, ROUND(STDDEV_SAMP(daily_net_return) * sqrt(252), 6) AS tracking_error, ROUND(AVG(daily_net_return) / STDDEV_SAMP(daily_net_return) * sqrt(252), 6) AS information_ratio "
         "FROM ledger WHERE day_no > 1 GROUP BY 1",
         *BASE, NAV_SQL,
     ),
 )
-table("b19_cumulative_return", lambda b: B.return_summary(b.period_table, ["run_id"]), "run_id, periods, ~gross_cumulative, ~net_cumulative", "rs", RUN_SUMMARY)
+table("b19_cumulative_return", lambda b: B.return_summary(b.period_table, ["run_id"]), "run_id, periods, ~gross_cumulative, ~net_cumulative", "rs", RUN_SUMMARY, reuse=True)
 ANNUAL = {
     f"{s}_annual{suffix}": annual_sql(f"{s}_cumulative", days, rep)
     for s in ("gross", "net")
@@ -262,20 +260,18 @@ ANNUAL = {
 ANNUAL_SQL = "ann AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in ANNUAL.items()) + " FROM ms)"
 table(
     "b20_annualised_return", lambda b: b.metrics, "run_id, headline_days, headline_basis, " + ", ".join(f"~{k}" for k in ANNUAL), "ann",
-    NAV_SQL, RUN_SUMMARY, METRICS_SQL, ANNUAL_SQL,
-)
-table("b21_volatility", lambda b: B.return_summary(b.period_table, ["run_id"]), "run_id, ~gross_volatility, ~net_volatility", "rs", RUN_SUMMARY)
-table("b22_sharpe", lambda b: B.return_summary(b.period_table, ["run_id"]), "run_id, ~gross_sharpe, ~net_sharpe", "rs", RUN_SUMMARY)
-table("b23_max_drawdown", lambda b: b.drawdown, "run_id, ~max_drawdown, ~net_max_drawdown", "dd", NAV_SQL)
-table("b24_exposure_days", lambda b: b.exposure, "run_id, periods, exposure_days, span_days, calendar_days", "rs", RUN_SUMMARY)
+    NAV_SQL, RUN_SUMMARY, METRICS_SQL, ANNUAL_SQL, reuse=True)
+table("b21_volatility", lambda b: B.return_summary(b.period_table, ["run_id"]), "run_id, ~gross_volatility, ~net_volatility", "rs", RUN_SUMMARY, reuse=True)
+table("b22_sharpe", lambda b: B.return_summary(b.period_table, ["run_id"]), "run_id, ~gross_sharpe, ~net_sharpe", "rs", RUN_SUMMARY, reuse=True)
+table("b23_max_drawdown", lambda b: b.drawdown, "run_id, ~max_drawdown, ~net_max_drawdown", "dd", NAV_SQL, reuse=True)
+table("b24_exposure_days", lambda b: b.exposure, "run_id, periods, exposure_days, span_days, calendar_days", "rs", RUN_SUMMARY, reuse=True)
 table(
     "b25_segment_metrics", lambda b: b.segments(),
     "run_id, split, start_date, end_date, purged, periods, exposure_days, ~gross_cumulative, ~net_cumulative, ~gross_annual, ~net_annual, ~gross_sharpe, ~net_sharpe",
-    "seg", SEGMENT_SQL,
-)
+    "seg", SEGMENT_SQL, reuse=True)
 register(
     "b26_backtest_warnings",
-    lambda spark, d: backtest(spark, d).warnings().select("run_id", F.array_join("warnings", ",").alias("warnings")),
+    lambda spark, d: backtest(spark, d, True).warnings().select("run_id", F.array_join("warnings", ",").alias("warnings")),
     panel_sql(
         "SELECT run_id, concat_ws(',', CASE WHEN periods < 2 THEN 'TOO_FEW_PERIODS' END, CASE WHEN headline_days > 0 AND headline_days < 126 THEN 'SHORT_ANNUALIZATION_WINDOW' END, "
         "CASE WHEN rebalance_rate > 0.8 THEN 'HIGH_REBALANCE_RATE' END, CASE WHEN turnover_rate > 1.5 THEN 'HIGH_TURNOVER_RATE' END, "
@@ -290,7 +286,7 @@ register(
 )
 register(
     "b27_cost_reconciliation",
-    lambda spark, d: backtest(spark, d).reconciliation.select(
+    lambda spark, d: backtest(spark, d, True).reconciliation.select(
         "run_id", *[r6(c).alias(c) for c in ("cost_sum", "gross_terminal", "net_terminal", "arithmetic_excess", "relative_excess")]
     ),
     panel_sql(
@@ -354,7 +350,7 @@ def cohort_backtest(spark, d, reuse=False):
     panel_sql("SELECT run_id, periods, exposure_days, ROUND(gross_cumulative, 6) AS gross_cumulative, ROUND(net_cumulative, 6) AS net_cumulative FROM rs", CAL_SQL, COHORT_RUNS, CORE_SQL, RUN_SUMMARY),
 )
 def cohorts(spark, d):
-    s = B.return_summary(cohort_backtest(spark, d).period_table, ["run_id"])
+    s = B.return_summary(cohort_backtest(spark, d, True).period_table, ["run_id"])
     return s.select("run_id", "periods", "exposure_days", r6("gross_cumulative").alias("gross_cumulative"), r6("net_cumulative").alias("net_cumulative"))
 
 
@@ -375,6 +371,6 @@ smix AS (SELECT idx, trade_date, SUM(CASE WHEN idx < first_idx THEN 1.0 ELSE COA
     ),
 )
 def stagger(spark, d):
-    b = cohort_backtest(spark, d)
+    b = cohort_backtest(spark, d, True)
     out = B.staggered_nav(b.nav, b.calendar, b.runs)
     return out.select("trade_date", r6("net_nav").alias("net_nav"), r6("daily_net_return").alias("daily_net_return"), "active_cohorts", r6("inactive_cash_weight").alias("inactive_cash_weight"))
