@@ -284,6 +284,16 @@ def resolve_universe(members: DataFrame, requested: str | None = None, default:
     )
 
 
+def composite_id_column(refs: list[tuple[Column, int]], method: str, standardization: str, holding: Column, delay: int = 1, top_quantile: float = 0.3) -> Column:
+    """``composite_id`` with default inputs as a column, for tables of composite requests."""
+    empty = {"backtest_end": None, "backtest_start": None, "coverage_rule": "all_factors", "decay_days": 0, "execution_delay_days": delay}
+    rest = {"method": method, "method_params": {}, "min_factor_coverage": None, "standardization": standardization, "top_quantile": top_quantile, "universe_filters": []}
+    text = lambda v: json.dumps(v, sort_keys=True, separators=(",", ":"))
+    members = F.concat_ws(",", *[F.concat(F.lit('["'), f, F.lit(f'",{s}]')) for f, s in refs])
+    raw = F.concat(F.lit(text(empty)[:-1] + ',"factor_refs":['), members, F.lit('],"holding_days":'), holding.cast("string"), F.lit("," + text(rest)[1:]))
+    return F.concat(F.lit(COMPOSITE_PREFIX), F.upper(F.substring(F.sha2(raw, 256), 1, 12)))
+
+
 def composite_id(directions: list[tuple[str, int]], method: str, standardization: str, holding: int, delay: int = 1, **inputs) -> str:
     """Id over all inputs; the order of members matters."""
     if len(directions) < 2:

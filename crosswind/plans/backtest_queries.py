@@ -267,7 +267,7 @@ table("b23_max_drawdown", lambda b: b.drawdown, "run_id, ~max_drawdown, ~net_max
 table("b24_exposure_days", lambda b: b.exposure, "run_id, periods, exposure_days, span_days, calendar_days", "rs", RUN_SUMMARY, reuse=True)
 table(
     "b25_segment_metrics", lambda b: b.segments(),
-    "run_id, split, start_date, end_date, purged, periods, exposure_days, ~gross_cumulative, ~net_cumulative, ~gross_annual, ~net_annual, ~gross_sharpe, ~net_sharpe",
+    "run_id, split, start_date, end_date, purged, periods, ~gross_cumulative, ~net_cumulative, ~gross_annual, ~net_annual, ~gross_sharpe, ~net_sharpe",
     "seg", SEGMENT_SQL, reuse=True)
 register(
     "b26_backtest_warnings",

@@ -309,8 +309,8 @@ def result_duplicates(spark, d):
 @query(
     "r14_comparison_rows",
     with_sql(
-        "SELECT 'candidate' AS role, c.factor_id, run_id, ROUND(rank_ic_mean, 9) AS rank_ic_mean, ROUND(i.net_annual, 9) AS selection_net_annual, i.periods AS selection_periods, "
-        "ROUND(o.net_annual, 9) AS oos_net_annual, o.periods AS oos_periods FROM cand c LEFT JOIN seg i ON i.factor_id = c.factor_id AND i.segment = 'IS' "
+        "SELECT 'candidate' AS role, c.factor_id, run_id, ROUND(rank_ic_mean, 9) AS rank_ic_mean, ROUND(i.net_annual, 9) AS selection_net_annual, CAST(i.periods AS DOUBLE) AS selection_periods, "
+        "ROUND(o.net_annual, 9) AS oos_net_annual, CAST(o.periods AS DOUBLE) AS oos_periods FROM cand c LEFT JOIN seg i ON i.factor_id = c.factor_id AND i.segment = 'IS' "
         "LEFT JOIN seg o ON o.factor_id = c.factor_id AND o.segment = 'OOS2' UNION ALL "
         "SELECT 'seed', seed_id, run_id, ROUND(MAX(rank_ic_mean), 9), NULL, NULL, NULL, NULL FROM cand GROUP BY seed_id, run_id",
         CAND_SQL,
@@ -318,7 +318,7 @@ def result_duplicates(spark, d):
 )
 def comparison(spark, d):
     c, s = candidates(spark, d), segments(spark, d)
-    pick = lambda name: s.where(F.col("segment") == name).select("factor_id", r9("net_annual").alias("net_annual"), "periods")
+    pick = lambda name: s.where(F.col("segment") == name).select("factor_id", r9("net_annual").alias("net_annual"), F.col("periods").cast("double").alias("periods"))
     rows = R.comparison_rows(c.select("factor_id", "run_id", r9("rank_ic_mean").alias("rank_ic_mean")), pick("IS"), pick("OOS2"))
     seeds = c.groupBy(F.col("seed_id").alias("factor_id"), "run_id").agg(r9(F.max("rank_ic_mean")).alias("rank_ic_mean"))
     return rows.withColumn("role", F.lit("candidate")).unionByName(seeds.withColumn("role", F.lit("seed")), allowMissingColumns=True)

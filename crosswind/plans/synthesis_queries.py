@@ -290,11 +290,17 @@ runs AS (SELECT 'COMPOSITE' AS run_id, 'COMPOSITE' AS factor_id, 0 AS start_idx,
 )
 
 
-@query("m18_composite_id")
+@query(
+    "m18_composite_id",
+    with_sql(
+        "SELECT seq, 'COMPOSITE_' || upper(substr(sha256('{\"backtest_end\":null,\"backtest_start\":null,\"coverage_rule\":\"all_factors\",\"decay_days\":0,\"execution_delay_days\":1,\"factor_refs\":[[\"' "
+        "|| factor_id || '\",1],[\"MOM\",-1]],\"holding_days\":' || CAST(horizon AS VARCHAR) || ',\"method\":\"equal\",\"method_params\":{},\"min_factor_coverage\":null,\"standardization\":\"zscore\",\"top_quantile\":0.3,\"universe_filters\":[]}'), 1, 12)) AS composite_id FROM defs",
+        DEFS_SQL,
+    ),
+)
 def composite_ids(spark, d):
-    """Ids of composites over the declared definitions, one per part brand pair."""
-    ids = M.composite_id(list(MEMBERS.items()), "equal", "zscore", 10)
-    return panel(spark, d).groupBy("industry").agg(F.count(F.lit(1)).alias("rows")).withColumn("composite_id", F.lit(ids))
+    """Ids of the pairs each definition would form with the momentum member."""
+    return definitions(spark, d).select("seq", M.composite_id_column([(F.col("factor_id"), 1), (F.lit("MOM"), -1)], "equal", "zscore", F.col("horizon")).alias("composite_id"))
 
 
 @query(

@@ -1,0 +1 @@
+"""Incremental forms of three batch behaviours, as Structured Streaming jobs."""
