@@ -21,8 +21,8 @@ def range_positions(df: DataFrame, by: tuple[str, ...], order: list[str], pos: s
     """Position of each row in its group's total order, and the group size.
 
     Groups may span many tasks: rows are range-partitioned on (by, order), numbered inside
-    their partition, and shifted by the group's row count in earlier partitions. The sorted
-    rows are checkpointed so that both reads below see the same partition numbers.
+    their partition, and shifted by the group's row count in earlier partitions. The numbered
+    rows are stored so that both reads below see the same partition numbers.
     """
     laid = durable(
         df.repartitionByRange(*by, *order)

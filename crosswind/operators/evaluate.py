@@ -129,11 +129,12 @@ def daily_rank_ic(labelled: DataFrame, xs: CrossSection, group: tuple[str, ...]
     )
 
 
-def _hac_error(series: Column, horizon: Column) -> Column:
-    """Newey-West standard error of the mean of an ordered array, lag = horizon - 1."""
-    n = F.size(series)
-    mean = F.try_divide(F.aggregate(series, F.lit(0.0), lambda a, x: a + x), n)
-    c = F.transform(series, lambda x: x - mean)
+def _hac_error(c: Column, horizon: Column) -> Column:
+    """Newey-West standard error of the mean of an ordered, centred array, lag = horizon - 1.
+
+    ``c`` must be a materialised column: it is sliced once per lag.
+    """
+    n = F.size(c)
 
     def product(k: Column) -> Column:
         pairs = F.zip_with(F.slice(c, k + 1, n - k), F.slice(c, F.lit(1), n - k), lambda a, b: a * b)
@@ -157,7 +158,9 @@ def two_sided_p(t: Column) -> Column:
     return _erfc(F.abs(t) / math.sqrt(2.0))
 
 
-def ic_summary(daily: DataFrame, by: tuple[str, ...] = GROUP, p_values: bool = False) -> DataFrame:
+def ic_summary(
+    daily: DataFrame, by: tuple[str, ...] = GROUP, p_values: bool = False, more: tuple[Column, ...] = ()
+) -> DataFrame:
     """Mean, std, ICIR, naive and HAC t, coverage counts and warning codes per group.
 
     The ordered IC array of a group holds one value per date, so it is bounded by the calendar.
@@ -170,18 +173,20 @@ def ic_summary(daily: DataFrame, by: tuple[str, ...] = GROUP, p_values: bool = F
             F.array_sort(F.collect_list(F.when(F.col("ic").isNotNull(), F.struct("trade_date", "ic")))), lambda e: e["ic"]
         ).alias("_series"),
         *[F.sum(c).alias(c) for c in ("raw_rows", "score_rows", "label_rows", "joint_rows")],
+        *more,
     )
     mean = F.coalesce("_mean", F.lit(0.0))
     floor = F.greatest(F.lit(ZERO), F.abs(mean) * RELATIVE_ZERO)
     degenerate = (F.col("ic_days") > 1) & (F.abs("_std") < floor)
     std = F.when(degenerate, 0.0).otherwise(F.coalesce("_std", F.lit(0.0)))
     out = agg.withColumns({"rank_ic_mean": mean, "rank_ic_std": std, "_degenerate": degenerate})
+    out = out.withColumn("_centred", F.transform("_series", lambda x: x - F.col("_mean")))
     ratio = F.when(F.col("rank_ic_std") > 0, F.col("rank_ic_mean") / F.col("rank_ic_std"))
     out = out.withColumns(
         {
             "rank_icir": F.coalesce(ratio, F.lit(0.0)),
             "t_stat_naive": ratio * F.sqrt("ic_days"),
-            "hac_error": _hac_error(F.col("_series"), F.col("horizon")),
+            "hac_error": _hac_error(F.col("_centred"), F.col("horizon")),
             "hac_lag": F.greatest(F.col("horizon") - 1, F.lit(0)),
         }
     )
@@ -204,7 +209,7 @@ def ic_summary(daily: DataFrame, by: tuple[str, ...] = GROUP, p_values: bool = F
             "dropped_boundary_rows": F.col("raw_rows") - F.col("label_rows"),
             "warning_codes": codes,
         }
-    ).drop("_mean", "_std", "_series", "_degenerate")
+    ).drop("_mean", "_std", "_series", "_centred", "_degenerate")
 
 
 def split_bounds(n: Column, splits: tuple[Split, ...]) -> list[Column]:
@@ -219,7 +224,8 @@ def split_bounds(n: Column, splits: tuple[Split, ...]) -> list[Column]:
 def assign_splits(dates: DataFrame, splits: tuple[Split, ...], by: tuple[str, ...], date: str, embargo: Column) -> DataFrame:
     """Cut ordered dates into named splits and drop each non-final split's embargoed tail.
 
-    ``dates`` has one row per (by, date); windows over it are bounded by the calendar.
+    ``dates`` has one row per (by, date) and keeps its other columns; windows over it are
+    bounded by the calendar.
     """
     check_splits(splits)
     whole = Window.partitionBy(*by)
@@ -234,27 +240,23 @@ def assign_splits(dates: DataFrame, splits: tuple[Split, ...], by: tuple[str, ..
         end = F.when(F.col("_i") <= e, e).otherwise(end)
     d = d.withColumns({"split": name, "_end": end})
     keep = (F.col("split") == splits[-1].name) | (F.col("_end") - F.col("_i") >= embargo)
-    return d.where(keep).select(*by, date, "split")
+    return d.where(keep).drop("_i", "_n", "_end")
 
 
 def sample_splits(daily: DataFrame, splits: tuple[Split, ...] = DEFAULT_SPLITS, delay: int = 1, embargo: int | None = None) -> DataFrame:
-    """(factor_id, horizon, trade_date, split) over the dates that have labels."""
+    """The daily rows that have labels, with their ``split``."""
     gap = F.col("horizon") + delay if embargo is None else F.lit(embargo)
-    dated = daily.where(F.col("label_rows") > 0).select(*DAY)
-    return assign_splits(dated, splits, GROUP, "trade_date", gap)
+    return assign_splits(daily.where(F.col("label_rows") > 0), splits, GROUP, "trade_date", gap)
 
 
 def split_metrics(daily: DataFrame, splits: tuple[Split, ...] = DEFAULT_SPLITS, delay: int = 1, embargo: int | None = None) -> DataFrame:
     """IC summary per split, with its dates and score weight."""
-    chosen = daily.join(sample_splits(daily, splits, delay, embargo), list(DAY))
-    by = (*GROUP, "split")
-    spans = chosen.groupBy(*by).agg(
-        F.min("trade_date").alias("start_date"), F.max("trade_date").alias("end_date"), F.count(F.lit(1)).alias("date_count")
-    )
+    chosen = sample_splits(daily, splits, delay, embargo)
+    spans = (F.min("trade_date").alias("start_date"), F.max("trade_date").alias("end_date"), F.count(F.lit(1)).alias("date_count"))
     weight = F.lit(0.0)
     for s in splits:
         weight = F.when(F.col("split") == s.name, F.lit(s.weight)).otherwise(weight)
-    return ic_summary(chosen, by).join(spans, list(by)).withColumn("score_weight", weight)
+    return ic_summary(chosen, (*GROUP, "split"), more=spans).withColumn("score_weight", weight)
 
 
 def oos_decay(metrics: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crosswind.functions.signals import KEYS
 from crosswind.operators.cross_section import CrossSection
 from crosswind.operators.evaluate import daily_rank_ic
+from crosswind.session import durable
 from crosswind.sources.panel import duplicate_keys
 
 # Fixed values.
@@ -103,6 +104,7 @@ def placebo_percentile(frame: DataFrame, xs: CrossSection, seed: int, permutatio
         ((F.col("rf") - F.col("_mf")) / F.col("_sf")).alias("zf"),
         "_n",
     )
+    base = durable(base)
     perms = base.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
     perms = perms.withColumn("_h", F.xxhash64(F.lit(seed), "perm", "trade_date", "instrument"))
     keys = ("perm", "trade_date")
@@ -141,13 +143,14 @@ def floor_status(daily: DataFrame, minimum: int = MIN_DATES) -> DataFrame:
 
 def falsification_report(frame: DataFrame, xs: CrossSection, seed: int, permutations: int = PERMUTATIONS) -> DataFrame:
     """All diagnostics as (metric, segment, value, observations) rows."""
-    daily = daily_rank_ic(frame, xs, ())
+    frame = durable(frame.select("trade_date", "instrument", "score", "forward_return"))
+    daily = durable(daily_rank_ic(frame, xs, ()))
 
     def rows(df, metric, segment: Column, value: str, n: Column):
         return df.select(F.lit(metric).alias("metric"), segment.alias("segment"), F.col(value).alias("value"), n.cast("bigint").alias("observations"))
 
     floor = floor_status(daily)
-    lags = lagged_ic(frame, xs)
+    lags = durable(lagged_ic(frame, xs))
     blocks = date_blocks(daily)
     placebo = placebo_percentile(frame, xs, seed, permutations)
     none = F.lit("")

@@ -393,7 +393,7 @@ def ancestors(edges: DataFrame, max_rounds: int = 32) -> DataFrame:
     """All (artifact, ancestor, depth) pairs of a parent table, shortest depth.
 
     Path doubling: each round joins the pairs of depth up to k with themselves, so the
-    number of rounds is the logarithm of the depth. Each round is checkpointed.
+    number of rounds is the logarithm of the depth. Each round is stored.
     """
     pairs = edges.select("artifact_id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
     pairs = durable(pairs)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from crosswind.operators import backtest as B
 from crosswind.plans.common import cross, panel
 from crosswind.plans.registry import panel_sql, query, r6, register
+from crosswind.session import durable
 
 SCHEDULES = [B.Schedule("ten", 10), B.Schedule("monthly", 21, delay=2, start_idx=3, partial=True)]
 RUNS = [
@@ -28,7 +29,8 @@ def scores(df):
 
 
 def backtest(spark, d, reuse=False) -> B.Backtest:
-    df = panel(spark, d)
+    df = panel(spark, d).select("trade_date", "instrument", "close", "volume", "return_5d")
+    df = durable(df) if reuse else df
     return B.Backtest(
         df.select("trade_date", "instrument", "close"), scores(df), B.schedules_table(spark, SCHEDULES), B.runs_table(spark, RUNS), cross(spark, d), reuse
     )
@@ -338,7 +340,8 @@ runs AS (SELECT CAST(trade_date AS VARCHAR) AS run_id, 'VOL' AS factor_id, idx A
 
 
 def cohort_backtest(spark, d, reuse=False):
-    df = panel(spark, d)
+    df = panel(spark, d).select("trade_date", "instrument", "close", "volume", "return_5d")
+    df = durable(df) if reuse else df
     small = df.select("trade_date", "instrument", "close")
     first = B.formation_dates(B.calendar(small), 1, 4)
     schedules, runs = B.cohort_tables(first, "VOL", 10, commission_bps=5.0, slippage_bps=5.0)

@@ -11,6 +11,7 @@ from crosswind.plans.common import cross, momentum_scores, panel
 from crosswind.plans.panel_queries import KEY
 from crosswind.plans.registry import panel_sql, query, r6, register
 from crosswind.plans.score_queries import ST_FILTER
+from crosswind.session import durable
 
 FACTORS = {"MOM": "return_5d", "VOL": "volume"}
 ONE = (5,)
@@ -218,7 +219,7 @@ register(
 )
 register(
     "v13_oos_decay_warning",
-    lambda spark, d: E.oos_decay(E.split_metrics(daily(spark, d, FACTORS, ALL))).select(
+    lambda spark, d: E.oos_decay(E.split_metrics(durable(daily(spark, d, FACTORS, ALL)))).select(
         "factor_id", "horizon", "split", *rounded("is_icir", "rank_icir"), "decays"
     ),
     panel_sql(
@@ -270,7 +271,8 @@ register(
 def evaluate_factor(spark, d):
     """Universe mask, labels, ranks, overall and split summaries in one plan."""
     df = C.universe_mask(panel(spark, d).withColumn("score", F.col("return_5d")), ST_FILTER)
-    day = E.daily_rank_ic(E.label_scored_panel(df, {"MOM": "score"}, ALL), cross(spark, d))
+    # One row per horizon and date: kept once for the overall and the split summaries.
+    day = durable(E.daily_rank_ic(E.label_scored_panel(df, {"MOM": "score"}, ALL), cross(spark, d)))
     shown = ("factor_id", "horizon", "split", "ic_days", *rounded(*SUMMARY_COLUMNS), joined())
     return E.ic_summary(day).withColumn("split", F.lit("all")).select(*shown).unionByName(
         E.split_metrics(day).select(*shown)

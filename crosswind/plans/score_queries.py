@@ -10,7 +10,7 @@ from crosswind.operators import scores as C
 from crosswind.plans.common import cross, keyed, panel
 from crosswind.plans.panel_queries import KEY, RANK, with_sql
 from crosswind.plans.registry import panel_sql, query, r6, register
-from crosswind.session import scratch_path
+from crosswind.session import durable, scratch_path
 from crosswind.sources import jsonl as J
 from crosswind.sources import values as V
 from crosswind.sources.panel import parse_date, table
@@ -436,7 +436,7 @@ def context(spark, d):
     ),
 )
 def mode(spark, d):
-    df = panel(spark, d)
+    df = durable(panel(spark, d).select("trade_date", "instrument", "close", "return_5d"))
     required = C.required_keys(df)
     return C.incremental_report(df, required, C.missing_keys(required, cached_scores(df)), 5)
 
@@ -446,7 +446,7 @@ def mode(spark, d):
     panel_sql(f"SELECT {KEY}, return_5d AS score, CASE WHEN {HOLE} THEN 'computed' ELSE 'cached' END AS source FROM panel"),
 )
 def incremental(spark, d):
-    df = panel(spark, d)
+    df = durable(panel(spark, d).select("trade_date", "instrument", "close", "is_st", "return_5d"))
     return C.incremental_scores(df, momentum(), cached_scores(df), cross(spark, d), "sparse_incremental")
 
 

@@ -161,7 +161,7 @@ RANKED = (SCORES_SQL, standard_sql("rank"), SWEEP_SQL)
 
 def sweep(spark, d):
     """The sweep is read by several consumers, so it is kept once."""
-    df = panel(spark, d)
+    df = durable(panel(spark, d).select("trade_date", "instrument", "close", "volume", "return_5d", "market_cap", "is_st"))
     cal = durable(B.calendar(df))
     dirs = directed(spark, d, "rank", df)
     return M.period_ic_sweep(dirs, df, cal, PLAN, cross(spark, d)), cal, dirs
@@ -267,7 +267,8 @@ def universe(spark, d):
 
 def composite_run(spark, d):
     """Equal z-score composite, stored and read back, traded on the ten-row schedule."""
-    df, xs = panel(spark, d), cross(spark, d)
+    df = durable(panel(spark, d).select("trade_date", "instrument", "close", "volume", "return_5d", "market_cap", "is_st"))
+    xs = cross(spark, d)
     comp = M.combine_apriori(directed(spark, d, "zscore", df), M.apriori_weights(NAMES), xs)
     cid = M.composite_id(list(MEMBERS.items()), "equal", "zscore", 10)
     stored = M.materialize(spark, comp, cid, scratch_path(spark, "composite"))

@@ -48,11 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def durable(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage with a reliable checkpoint that survives executor loss."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=eager)
+def durable(df: DataFrame) -> DataFrame:
+    """Compute once: write a table into the shared folder and read it back.
+
+    This cuts lineage like a checkpoint, survives the loss of executors, and later readers
+    get column pruning, filters and known sizes.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -52,14 +52,23 @@ def with_returns(df: DataFrame, keys=KEYS) -> DataFrame:
     return df.withColumn("volatility_5d", vol)
 
 
+def cents(name: str):
+    """A non-negative two-decimal amount as a whole number."""
+    return F.floor(F.col(name) * 100 + 0.5)
+
+
 def weekly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly supplier panel from order lines; sums are decimal, hence exact."""
+    """Weekly supplier panel from order lines.
+
+    Quantities and prices hold two decimals, so they are summed as whole cents: exact in any
+    order, and faster than wide decimals.
+    """
     lines = table(spark, sf_dir, "lineitem").groupBy(
         F.to_date(F.date_trunc("week", "l_shipdate")).alias("trade_date"), "l_suppkey"
     )
     cells = lines.agg(
-        F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("qty"),
-        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("amt"),
+        F.sum(cents("l_quantity")).alias("qty"),
+        F.sum(cents("l_extendedprice")).alias("amt"),
         (2 * F.count_if(F.col("l_returnflag") == "R") > F.count(F.lit(1))).alias("is_st"),
     )
     names = (
@@ -70,14 +79,14 @@ def weekly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = cells.join(names, F.col("l_suppkey") == F.col("s_suppkey")).select(
         "trade_date",
         F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 12, "0")).alias("instrument"),
-        F.col("qty").cast("double").alias("volume"),
-        F.col("amt").cast("double").alias("amount"),
-        (F.col("amt").cast("double") / F.col("qty").cast("double")).alias("close"),
+        (F.col("qty") / 100.0).alias("volume"),
+        (F.col("amt") / 100.0).alias("amount"),
+        ((F.col("amt") / 100.0) / (F.col("qty") / 100.0)).alias("close"),
         "industry",
         "is_st",
         "amt",
     )
-    cap = F.sum("amt").over(KEYS.trailing(13)).cast("double")
+    cap = F.sum("amt").over(KEYS.trailing(13)) / 100.0
     return with_returns(panel.withColumn("market_cap", cap).drop("amt"))
 
 

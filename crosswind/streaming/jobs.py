@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from crosswind.operators.cross_section import CrossSection
 from crosswind.operators.ledgers import ingest_outcomes
 from crosswind.operators.scores import Factor, context_dates, restrict_to_keys, universe_mask
+from crosswind.session import durable
 from crosswind.sources import values as V
 
 ROW = ["trade_date", "instrument"]
@@ -59,11 +60,14 @@ def stream_factor_values(
 
     def update(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").partitionBy("batch_id").parquet(panel)
+        stamped = batch.withColumns({"batch_id": F.lit(batch_id), "year": F.year("trade_date")})
+        stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "year").parquet(panel)
         whole = spark.read.parquet(panel).drop("batch_id")
         new = batch.select(*ROW).distinct()
-        context = whole.join(context_dates(whole, new, factor.lookback), "trade_date", "left_semi")
+        # Few dates; their years prune the folders of the second read.
+        near = durable(context_dates(whole, new, factor.lookback))
+        years = [r.year for r in near.select(F.year("trade_date").alias("year")).distinct().collect()]
+        context = whole.where(F.col("year").isin(years)).drop("year").join(near, "trade_date", "left_semi")
         fresh = universe_mask(factor.build(context, cross(context)), factor.filters)
         rows = V.to_rows(restrict_to_keys(fresh.select(*ROW, "score"), new), factor.factor_id, signature, "incremental", batch_id)
         if not spark._jvm.org.apache.hadoop.fs.Path(store).getFileSystem(spark._jsc.hadoopConfiguration()).exists(
