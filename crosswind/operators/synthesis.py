@@ -141,6 +141,12 @@ def combine_apriori(directed: DataFrame, weights: dict[str, float], xs: CrossSec
 # --- fitted weights -------------------------------------------------------------------
 
 
+def signal_rows(scores: DataFrame, cal: DataFrame, plan: B.Schedule) -> DataFrame:
+    """Scores on the grid's signal dates. Standardisation is per date, so a sweep needs no others."""
+    slots = B.schedule(cal, B.schedules_table(scores.sparkSession, [plan]))
+    return scores.join(slots.select(F.col("signal_date").alias("trade_date")), "trade_date", "left_semi")
+
+
 def period_ic_sweep(directed: DataFrame, panel: DataFrame, cal: DataFrame, plan: B.Schedule, xs: CrossSection) -> DataFrame:
     """Rank IC of every member in every closed grid period; (factor_id, signal_idx, ic)."""
     table = B.schedules_table(panel.sparkSession, [plan])

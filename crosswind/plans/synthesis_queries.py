@@ -163,8 +163,9 @@ def sweep(spark, d):
     """The sweep is read by several consumers, so it is kept once."""
     df = durable(panel(spark, d).select("trade_date", "instrument", "close", "volume", "return_5d", "market_cap", "is_st"))
     cal = durable(B.calendar(df))
-    dirs = directed(spark, d, "rank", df)
-    return M.period_ic_sweep(dirs, df, cal, PLAN, cross(spark, d)), cal, dirs
+    xs = cross(spark, d)
+    on_grid = M.directed_scores(M.signal_rows(member_scores(df), cal, PLAN), MEMBERS, "rank", xs)
+    return M.period_ic_sweep(on_grid, df, cal, PLAN, xs), cal, directed(spark, d, "rank", df)
 
 
 def fitted(spark, d, method="ic_weighted"):
