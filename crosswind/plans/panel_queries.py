@@ -207,8 +207,8 @@ def quality(spark, sf_dir):
 @query(
     "s12_snapshot_synthesized",
     with_sql(
-        "SELECT 'is_st' AS field UNION ALL SELECT 'market_cap' WHERE EXISTS (SELECT 1 FROM price p LEFT JOIN basic b ON "
-        "p.trade_date = b.trade_date AND p.ts_code = b.ts_code WHERE COALESCE(total_mv, circ_mv) IS NULL)",
+        "SELECT 'is_st' AS field UNION ALL SELECT 'market_cap' FROM (SELECT COUNT(*) AS n FROM price p LEFT JOIN basic b ON "
+        "p.trade_date = b.trade_date AND p.ts_code = b.ts_code WHERE COALESCE(total_mv, circ_mv) IS NULL) WHERE n > 0",
         SNAPSHOT_SQL,
     ),
 )
