@@ -13,9 +13,10 @@ Pe / (Pe + prod Pw), the longer contexts have the rest. A context that training
 Summed over bits and bytes this is the code length; scores are log10 probabilities.
 
 Nothing of the corpus is broadcast but the nodes of depths 0 and 1, at most 257 x 255 rows. A symbol's probability depends on the symbol
-and its DEPTH preceding bytes alone, so the model is one value for each distinct string of DEPTH + 1 bytes (a gram). Documents are
-dealt to blocks of about BLOCK_BYTES; a block sends each of its distinct grams and words once, counts are added up by gram and by word,
-the values are joined back, and each block scores its texts. Values are computed by groups of grams with the same last two
+and its DEPTH preceding bytes alone, so the model is one value for each distinct string of DEPTH + 1 bytes (a gram). Grams, and
+words by a 63-bit hash for the base score, share one space of keys. Each task adds up the keys of about BLOCK_BYTES of text at a time
+before they are summed by key. To score, documents are dealt to blocks of about BLOCK_BYTES; a block asks for each of its
+distinct keys once, the values are joined to that, and the block scores its texts. Values are computed by groups of grams with the same last two
 context bytes, so no group is larger than the distinct grams below one context, however often these occur.
 """
 
@@ -26,6 +27,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ from crosswind.session import durable
 
 DEPTH = 5
 END = 0xFF
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 FOLDS, HELD_OUT = 5, 1
 TOP = 2  # contexts shorter than this are the shared top of the tree
 
@@ -83,30 +85,61 @@ def count_grams(texts: list[bytes], trains: np.ndarray) -> tuple[np.ndarray, np.
     return _merged(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-PAIRS = pa.schema([("block", pa.int32()), ("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+WORD = 1 << 63  # the top bit tells words from grams; as a long, words are negative
 
 
-def _block_counts(t: pa.Table) -> pa.Table:
-    """What one block holds: each distinct gram and word once, with its count in training texts."""
-    texts, trains = texts_of(t.column("text")), t.column("trains").to_numpy(zero_copy_only=False).astype(bool)
+def word_keys(words: list[bytes]) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(w) | WORD for w in words), np.uint64, len(words))
+
+
+COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+
+
+def _sums(texts: list[bytes], trains: np.ndarray) -> pa.RecordBatch:
+    """Distinct grams and words of the texts, with their number in those that train."""
     keys, n = count_grams(texts, trains)
     words: Counter = Counter()
     rest: set = set()
     for text, yes in zip(texts, trains, strict=True):
         (words if yes else rest).update(text.lower().split())
     rest.difference_update(words)
-    every = [*words, *rest]
-    block = t.column("block")[0].as_py()
-    size = len(keys) + len(every)
-    return pa.table(
-        {
-            "block": pa.array(np.full(size, block), pa.int32()),
-            "gram": pa.concat_arrays([pa.array(keys.astype(np.int64)), pa.nulls(len(every), pa.int64())]),
-            "word": pa.concat_arrays([pa.nulls(len(keys), pa.binary()), pa.array(every, pa.binary())]),
-            "n": pa.concat_arrays([pa.array(n.astype(np.int64)), pa.array([words.get(w, 0) for w in every], pa.int64())]),
-        },
-        schema=PAIRS,
-    )
+    every = np.concatenate([keys, word_keys(list(words)), word_keys(list(rest))])
+    counts = np.concatenate([n, np.fromiter(words.values(), np.int64, len(words)), np.zeros(len(rest), np.int64)])
+    return pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(counts.astype(np.int64))], schema=COUNTS)
+
+
+def _partial(limit: int):
+    def run(batches):
+        texts, trains, size = [], [], 0
+        for batch in batches:
+            for t, y in zip(texts_of(batch.column("text")), batch.column("trains").to_pylist(), strict=True):
+                texts.append(t)
+                trains.append(y)
+                size += len(t) + 1
+                if size >= limit:
+                    yield _sums(texts, np.array(trains, bool))
+                    texts, trains, size = [], [], 0
+        if texts:
+            yield _sums(texts, np.array(trains, bool))
+
+    return run
+
+
+ASKED = pa.schema([("block", pa.int32()), ("key", pa.int64())])
+
+
+def _block_keys(t: pa.Table) -> pa.Table:
+    """Each distinct gram and word of one block once."""
+    texts, words, parts = texts_of(t.column("text")), set(), []
+    for a, b in chunked(texts):
+        parts.append(np.unique(grams(texts[a:b])[0]))
+        if len(parts) > 8:
+            parts = [np.unique(np.concatenate(parts))]
+        for text in texts[a:b]:
+            words.update(text.lower().split())
+    keys = np.concatenate([np.unique(np.concatenate(parts)), word_keys(list(words))])
+    return pa.table([pa.array(np.full(len(keys), t.column("block")[0].as_py()), pa.int32()), pa.array(keys.view(np.int64))], schema=ASKED)
 
 
 def _log_gamma_half(n: np.ndarray, shift: float) -> np.ndarray:
@@ -258,18 +291,15 @@ SCORED = pa.schema(
 )
 
 
-def _score_block(end_value: float, end_known: bool):
+def _score_block(below: float, ends: int):
+    """below: the denominator of the base estimate; ends: how often the end token was seen."""
+
     def run(docs: pa.Table, values: pa.Table) -> pa.Table:
         texts = texts_of(docs.column("text"))
-        is_gram = values.column("gram").is_valid()
-        g = values.filter(is_gram)
-        keys, v = g.column("gram").to_numpy().astype(np.uint64), g.column("value").to_numpy()
+        keys, v = values.column("key").to_numpy().view(np.uint64), values.column("value").to_numpy()
         order = np.argsort(keys)
         keys, v = keys[order], v[order]
-        w = values.filter(values.column("word").is_valid())
-        worth = dict(zip(w.column("word").to_pylist(), w.column("value").to_pylist(), strict=True))
-        known = set(w.filter(w.column("known")).column("word").to_pylist())
-        score = np.zeros(len(texts))
+        score, base, n_tokens, n_known = (np.zeros(len(texts)) for _ in range(4))
         for a, b in chunked(texts):
             x, owner = grams(texts[a:b])
             x = np.sort(x << np.uint64(16) | owner.astype(np.uint64))  # 48 bits of gram, 16 of owner
@@ -277,16 +307,19 @@ def _score_block(end_value: float, end_known: bool):
             at = _runs(gram)
             each = v[np.searchsorted(keys, gram[at])]
             score[a:b] = np.bincount(owner, np.repeat(each, np.diff(np.append(at, len(gram)))), b - a)
-        n_tokens, n_known, base = [], [], []
-        for t in texts:
-            words = t.lower().split()
-            n_tokens.append(len(words) + 1)
-            n_known.append(sum(x in known for x in words) + end_known)
-            base.append(sum(map(worth.__getitem__, words)) + end_value)
+            split = [t.lower().split() for t in texts[a:b]]
+            place = {w: i for i, w in enumerate({w for words in split for w in words})}
+            seen = v[np.searchsorted(keys, word_keys(list(place)))]
+            worth = np.log10((seen + 0.5) / below)
+            for i, words in enumerate(split, a):
+                index = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                n_tokens[i] = len(words) + 1
+                n_known[i] = (seen[index] > 0).sum() + (ends > 0)
+                base[i] = worth[index].sum() + np.log10((ends + 0.5) / below)
         size = np.fromiter((len(t) + 1 for t in texts), np.float64, len(texts))
         return pa.table(
             {
-                "doc_id": docs.column("doc_id"), "held_out": pa.array(~docs.column("trains").to_numpy(zero_copy_only=False).astype(bool)), "n_tokens": n_tokens, "n_known": n_known,
+                "doc_id": docs.column("doc_id"), "held_out": pa.array(~docs.column("trains").to_numpy(zero_copy_only=False).astype(bool)), "n_tokens": n_tokens.astype(np.int64), "n_known": n_known.astype(np.int64),
                 "base_score": base, "score": score, "bits_per_byte": -score * np.log2(10.0) / size,
             }
         ).cast(SCORED)
@@ -305,20 +338,17 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OU
     size = rows.agg(F.sum(F.octet_length("text") + 1), F.sum(F.col("trains").cast("long"))).first()
     blocks = max(1, -(-(size[0] or 0) // block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
-    pairs = durable(dealt.groupBy("block").applyInArrow(_block_counts, ddl(PAIRS)))
-
-    by_gram = durable(pairs.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")))
-    by_word = durable(pairs.where("gram is null").groupBy("word").agg(F.sum("n").alias("c")))
-    total = by_word.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
+    sums = durable(rows.select("text", "trains").mapInArrow(_partial(block_bytes), ddl(COUNTS)).groupBy("key").agg(F.sum("n").alias("n")))
+    words = sums.where("key < 0")
+    total = words.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     ends = size[1] or 0
     n, distinct = (total[0] or 0) + ends, total[1] + (ends > 0)
     below = n + 0.5 * (distinct + 1)
-    worth = lambda c: F.log10((c + 0.5) / F.lit(below))
-    grams_back = pairs.where("gram is not null").select("block", "gram").join(gram_values(by_gram), "gram")
-    words_back = pairs.where("gram is null").select("block", "word").join(by_word, "word")
-    values = grams_back.select("block", "gram", F.lit(None).cast("binary").alias("word"), "value", F.lit(True).alias("known")).union(
-        words_back.select("block", F.lit(None).cast("long"), "word", worth(F.col("c")), F.col("c") > 0)
-    )
-    end = float(np.log10((ends + 0.5) / below))
-    scored = dealt.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_score_block(end, ends > 0), ddl(SCORED))
+    # a gram's value travels with the digits of a float; a word's is its count
+    values = gram_values(sums.where("key >= 0").withColumnRenamed("key", "gram")).select(F.col("gram").alias("key"), F.col("value").cast("float").cast("double").alias("value"))
+    values = values.union(words.select("key", F.col("n").cast("double")))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
+    asked = dealt.groupBy("block").applyInArrow(_block_keys, ddl(ASKED))
+    answers = asked.join(values, "key").select("block", "key", "value")
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block(below, ends), ddl(SCORED))
     return scored.withColumn("train_tokens", F.lit(n).cast("long"))
