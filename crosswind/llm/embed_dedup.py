@@ -149,21 +149,35 @@ def _block_pairs(threshold: float):
     return run
 
 
+def _small_components(threshold: float):
+    count = _block_pairs(threshold)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([count(g, g) for _, g in f.groupby("component_id", sort=False)])
+
+    return run
+
+
 def link_counts(classes: DataFrame, group: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(id, links): rows that a class links with inside its component, itself included. Exact.
 
-    Components are cut into blocks of about `block` members; each ordered pair of blocks is one task's group.
+    Components are cut into cells of about `block` members; each ordered pair of cells is one task's group. Components
+    of one cell are taken many together, so that groups are never far more numerous than cells.
     """
     sizes = group.groupBy("component_id").agg(F.count("*").alias("members"))
     cells = F.ceil(F.col("members") / block).cast("int")
     member = classes.join(group, "id").join(sizes, "component_id").withColumn("cells", cells)
     member = durable(member.select("component_id", "cells", "id", "n", "embedding", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int").alias("cell")))
-    left = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    right = member.select("component_id", F.col("cell").alias("other"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "n", "embedding")
+    one = member.where("cells = 1")
+    bundles = max(1, -(-one.count() // (4 * block)))
+    bundle = F.pmod(F.xxhash64("component_id"), F.lit(bundles)).alias("bundle")
+    small = one.select("component_id", "id", "n", "embedding", bundle).groupBy("bundle").applyInPandas(_small_components(threshold), "id long, n long")
+    large = member.where("cells > 1")
+    left = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    right = large.select("component_id", F.col("cell").alias("other"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "n", "embedding")
     key = ["component_id", "cell", "other"]
-    # small components share a task group so that groups are not far more numerous than blocks
     found = left.select(*key, "id", "embedding").groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_block_pairs(threshold), "id long, n long")
-    return found.groupBy("id").agg(F.sum("n").alias("links"))
+    return small.union(found).groupBy("id").agg(F.sum("n").alias("links"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
