@@ -93,11 +93,11 @@ def mix(docs: DataFrame, evenness: float = EVENNESS, repeats: float = REPEATS, b
     """
     names = docs.columns
     rows = docs.select(*names, F.col("source").cast("string").alias("_source"), token_count(F.col("text")).alias("mix_tokens")).where("mix_tokens > 0")
-    plan = durable(weights(rows.select(F.col("_source").alias("source"), F.col("mix_tokens").alias("n_tokens")), evenness, repeats, budget, share))
     key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
     # a hash of the text settles the order of documents with one id
     rows = rows.withColumn("_key", key).withColumn("_tie", F.xxhash64(F.col("text").cast("string"))).withColumn("_block", F.pmod("_key", F.lit(blocks)).cast("int"))
-    sums = rows.groupBy("_source", "_block").agg(F.sum("mix_tokens").alias("block_tokens"))
+    sums = durable(rows.groupBy("_source", "_block").agg(F.sum("mix_tokens").alias("block_tokens")))
+    plan = durable(weights(sums.select(F.col("_source").alias("source"), F.col("block_tokens").alias("n_tokens")), evenness, repeats, budget, share))
     turns = sums.join(plan, F.col("_source").eqNullSafe(F.col("source"))).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.floor(F.col("target") / F.col("tokens")).cast("int"))))
     order = Window.partitionBy("_source", "mix_epoch").orderBy(F.xxhash64(F.lit(seed), "mix_epoch", "_block"), "_block")
     before = F.sum("block_tokens").over(order) - F.col("block_tokens")
