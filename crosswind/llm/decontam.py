@@ -107,26 +107,27 @@ class Index:
             base += count
         terms = len(self.term)
         t, p = np.concatenate(ids), np.concatenate(place)
-        pairs = np.unique(np.concatenate([p * terms + t, (p - 1) * terms + t]))
+        pairs = _distinct(np.concatenate([p * terms + t, (p - 1) * terms + t]))
         p, t = pairs // terms, pairs % terms
         hopeful = np.bincount(p, self.most[t], base) >= self.threshold - 1e-9
         p, t = p[hopeful[p]], t[hopeful[p]]
         if not len(p):
             return []
-        names = np.unique(p)
-        p = np.searchsorted(names, p)
+        names, p = _numbered(p)
         cells, q = _expand(self.first[t], self.first[t + 1], p)
         pair = q * self.blocks + self.cell_block[cells]
         go = np.bincount(pair, self.cell_max[cells], len(names) * self.blocks) >= self.threshold - 1e-9
-        cells, q = cells[go[pair]], q[go[pair]]
+        cells, left = cells[go[pair]], np.flatnonzero(go)
+        # the pairs that go on, numbered; each has a place for every item of its block
+        q = np.searchsorted(left, pair[go[pair]])
         posting, q = _expand(self.cell_start[cells], self.cell_end[cells], q)
-        keys, inverse = np.unique(q * len(self.items) + self.item[posting], return_inverse=True)
-        scores = np.bincount(inverse, self.impact[posting], len(keys))
+        scores = np.bincount(q * BLOCK + self.item[posting] % BLOCK, self.impact[posting], len(left) * BLOCK)
         spans = np.concatenate(passages)
         out = []
         for k in np.flatnonzero(scores >= self.threshold):
-            n, start = spans[names[keys[k] // len(self.items)]]
-            out.append((int(n), int(start), int(keys[k] % len(self.items)), float(scores[k])))
+            passage, block = divmod(left[k // BLOCK], self.blocks)
+            n, start = spans[names[passage]]
+            out.append((int(n), int(start), int(block * BLOCK + k % BLOCK), float(scores[k])))
         return out
 
     def verified(self, texts: list[list[str]]) -> list[tuple[int, int, float, float, float, float | None]]:
@@ -142,6 +143,17 @@ class Index:
         return [(n, name, r[1], r[0], r[2], r[3]) for (n, name), r in sorted(best.items())]
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array, and for each element the number of its value."""
+    new = np.concatenate(([True], x[1:] != x[:-1]))
+    return x[new], np.cumsum(new) - 1
+
+
 def _expand(start: np.ndarray, end: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges one after the other, and each one's owner."""
     size = end - start
