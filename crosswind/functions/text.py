@@ -9,12 +9,11 @@ REDACTED_PATH = "<redacted-path>"
 REDACTED_VALUE = "<redacted>"
 
 # What counts as a secret assignment or an absolute path, applied in this order.
-STOP = r"""[^\s'"`;,)\]}]"""
 SECRET = r"""(?i)\b([A-Za-z_][A-Za-z0-9_]*(?:key|token|secret|password|passwd|credential)s?[A-Za-z0-9_]*)\s*=\s*([^\s'"]+)"""
-FILE_URL = r"(?i)\bfile://" + STOP + "+"
+FILE_URL = r"""(?i)\bfile://[^\s'"`;,)\]}]+"""
 UNC_PATH = r"""\\\\[^\s\\'"`;,)\]}]+(?:\\[^\s\\'"`;,)\]}]+)+"""
-WINDOWS_PATH = r"\b[A-Za-z]:[\\/]" + STOP + "+"
-POSIX_PATH = r"(?:~|/(?:Users|home|root|private|var|tmp|opt|mnt|srv|etc|usr|Volumes|Library))(?:/" + STOP + "+)+"
+WINDOWS_PATH = r"""\b[A-Za-z]:[\\/][^\s'"`;,)\]}]+"""
+POSIX_PATH = r"""(?:~|/(?:Users|home|root|private|var|tmp|opt|mnt|srv|etc|usr|Volumes|Library))(?:/[^\s'"`;,)\]}]+)+"""
 PATHS = (FILE_URL, UNC_PATH, WINDOWS_PATH, POSIX_PATH)
 
 # Operator aliases. Only equivalents are rewritten, the others are reported.

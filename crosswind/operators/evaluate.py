@@ -294,9 +294,10 @@ def metric_rows(summary: DataFrame, by: tuple[str, ...] = GROUP) -> DataFrame:
 
 
 def weighted_split_icir(metrics: DataFrame) -> DataFrame:
-    usable = metrics.where((F.col("ic_days") > 0) & (F.col("score_weight") > 0))
-    value = F.try_divide(F.sum(F.col("score_weight") * F.col("rank_icir")), F.sum("score_weight"))
-    return usable.groupBy(*GROUP).agg(value.alias("weighted_split_icir"))
+    """Every factor and horizon gets a row; one without a usable split has 0.0."""
+    usable = (F.col("ic_days") > 0) & (F.col("score_weight") > 0)
+    value = F.try_divide(F.sum(F.when(usable, F.col("score_weight") * F.col("rank_icir"))), F.sum(F.when(usable, F.col("score_weight"))))
+    return metrics.groupBy(*GROUP).agg(F.coalesce(value, F.lit(0.0)).alias("weighted_split_icir"))
 
 
 def status_counts(rows: DataFrame) -> DataFrame:

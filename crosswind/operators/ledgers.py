@@ -160,8 +160,13 @@ def first_of(df: DataFrame, key: str, order: str = "seq") -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_r")).select(key, "_r.*").select(*df.columns)
 
 
+def rejected_outcomes(incoming: DataFrame, origin: str = "local") -> DataFrame:
+    """Rows that ingest does not take, with the reason; a missing origin is a mismatch too."""
+    return incoming.where(~F.col("origin").eqNullSafe(F.lit(origin))).withColumn("reason", F.lit("ORIGIN_MISMATCH"))
+
+
 def ingest_outcomes(ledger: DataFrame, incoming: DataFrame, origin: str = "local") -> DataFrame:
-    """Rows to append: right origin, not replayed, each outcome once."""
+    """Rows to append: right origin, not replayed, each outcome once. `rejected_outcomes` has the rows of another origin."""
     fresh = incoming.where(F.col("origin") == origin)
     return first_of(fresh.join(ledger.select("outcome_id"), "outcome_id", "left_anti"), "outcome_id")
 

@@ -179,8 +179,8 @@ RETAIN_GONE = "CASE WHEN retention IS NULL THEN 'INSUFFICIENT_EVIDENCE: net/gros
 DECAY_SQL = "CASE WHEN decays THEN 'OOS net return decay exceeds threshold' END"
 DECAY_GONE = "CASE WHEN NOT decays AND NOT has_evidence THEN 'INSUFFICIENT_OOS_EVIDENCE: IS/OOS net_annualized_return evidence is missing' END"
 BASIC_SQL = (
-    "CASE WHEN ic_days < 20 THEN 'ic_days below threshold' END, CASE WHEN coverage < 0.25 THEN 'coverage below threshold' END, "
-    "CASE WHEN periods < 7 THEN 'backtest_periods below threshold' END, CASE WHEN score < 0 THEN 'score below threshold' END"
+    "CASE WHEN ic_days IS NULL OR ic_days < 20 THEN 'ic_days below threshold' END, CASE WHEN coverage IS NULL OR coverage < 0.25 THEN 'coverage below threshold' END, "
+    "CASE WHEN periods IS NULL OR periods < 7 THEN 'backtest_periods below threshold' END, CASE WHEN score IS NULL OR score < 0 THEN 'score below threshold' END"
 )
 drop_null = "list_filter([{}], lambda e: e IS NOT NULL)".format
 SMOKE_LIST = (
@@ -234,7 +234,7 @@ FULL_SQL = ", ".join(
         "CASE WHEN COALESCE(score, 0) < 0 THEN 'score below threshold' END",
         low_sql(f"(COALESCE(net_annual, gross_annual) * {TURN})", -0.2, "direction_adjusted_total_return"),
         low_sql(f"(net_sharpe * {TURN})", -0.3, "direction_adjusted_sharpe"), low_sql("net_drawdown", -0.17, "max_drawdown"),
-        "CASE WHEN active_correlation IS NULL THEN 'INSUFFICIENT_EVIDENCE: active-factor correlation is missing' WHEN ABS(active_correlation) > 0.2 THEN 'active factor correlation too high' END",
+        "CASE WHEN active_correlation IS NULL THEN 'INSUFFICIENT_EVIDENCE: active-factor correlation is missing' WHEN ABS(active_correlation) > 0.2 THEN 'TOO_CLOSE_TO_ACTIVE_FACTOR' END",
     ]
 )
 register(
@@ -521,14 +521,14 @@ register(
     ),
 )
 REVIEW_SQL = (
-    "SELECT factor_id, array_to_string(" + drop_null("CASE WHEN rank_ic_mean > 0 THEN 'positive whole-sample Rank IC' END, CASE WHEN split_icir > 0 THEN 'positive weighted split ICIR' END, CASE WHEN net_sharpe > 0 THEN 'positive net long-short Sharpe' END")
+    "SELECT factor_id, array_to_string(" + drop_null("CASE WHEN rank_ic_mean > 0 THEN 'IC_POSITIVE' END, CASE WHEN split_icir > 0 THEN 'SPLIT_ICIR_POSITIVE' END, CASE WHEN net_sharpe > 0 THEN 'NET_SHARPE_POSITIVE' END")
     + ", '; ') AS strengths, array_to_string(" + drop_null(
-        "CASE WHEN rank_ic_mean <= 0 THEN 'whole-sample Rank IC is not positive' END, CASE WHEN split_icir <= 0 THEN 'weighted split ICIR is not positive' END, CASE WHEN net_sharpe <= 0 THEN 'net long-short Sharpe is not positive' END, "
-        "CASE WHEN rebalance_rate > 0.8 THEN 'high rebalance rate' END, CASE WHEN turnover_rate > 1.5 THEN 'high turnover rate' END, CASE WHEN gross_annual > 0 AND net_annual < gross_annual * 0.5 THEN 'net performance is sensitive to transaction costs' END, "
-        "CASE WHEN net_drawdown < -0.2 THEN 'large net drawdown in lightweight backtest' END, CASE WHEN rank_icir < -0.1 THEN 'OOS2 ICIR decays versus IS' END, CASE WHEN decays THEN 'OOS net return decays versus IS' END"
+        "CASE WHEN rank_ic_mean <= 0 THEN 'IC_NOT_POSITIVE' END, CASE WHEN split_icir <= 0 THEN 'SPLIT_ICIR_NOT_POSITIVE' END, CASE WHEN net_sharpe <= 0 THEN 'NET_SHARPE_NOT_POSITIVE' END, "
+        "CASE WHEN rebalance_rate > 0.8 THEN 'NAMES_CHANGE_OFTEN' END, CASE WHEN turnover_rate > 1.5 THEN 'WEIGHTS_CHANGE_MUCH' END, CASE WHEN gross_annual > 0 AND net_annual < gross_annual * 0.5 THEN 'COSTS_TAKE_HALF' END, "
+        "CASE WHEN net_drawdown < -0.2 THEN 'DEEP_DRAWDOWN' END, CASE WHEN rank_icir < -0.1 THEN 'ICIR_FADES' END, CASE WHEN decays THEN 'RETURN_FADES' END"
     )
-    + ", '; ') AS risks, CASE WHEN len(s) > 0 THEN array_to_string(s, '; ') ELSE 'compare against a lower-cost, lower-turnover variant' END AS next_steps FROM (SELECT *, "
-    + drop_null("CASE WHEN rebalance_rate > 0.8 THEN 'reduce rebalance rate' END, CASE WHEN turnover_rate > 1.5 THEN 'reduce turnover rate' END, CASE WHEN rank_icir < -0.1 THEN 'test a simpler or more robust variant' END, CASE WHEN decays THEN 'validate on a later OOS period' END")
+    + ", '; ') AS risks, CASE WHEN len(s) > 0 THEN array_to_string(s, '; ') ELSE 'TRY_CHEAPER_FORM' END AS next_steps FROM (SELECT *, "
+    + drop_null("CASE WHEN rebalance_rate > 0.8 THEN 'HOLD_NAMES_LONGER' END, CASE WHEN turnover_rate > 1.5 THEN 'SMOOTH_WEIGHTS' END, CASE WHEN rank_icir < -0.1 THEN 'TRY_SIMPLER_FORM' END, CASE WHEN decays THEN 'CHECK_LATER_PERIOD' END")
     + " AS s FROM cg)"
 )
 

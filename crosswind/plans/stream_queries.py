@@ -19,15 +19,26 @@ from crosswind.streaming import jobs as W
     with_sql("SELECT outcome_id, COUNT(DISTINCT outcome_id) AS appended FROM oc WHERE origin = 'local' GROUP BY 1", OUTCOME_SQL),
 )
 def stream_ingest(spark, d):
-    ledger, mark = scratch_path(spark, "ledger"), scratch_path(spark, "mark")
+    return ingested(spark, d)[0].groupBy("outcome_id").agg(F.count(F.lit(1)).alias("appended"))
+
+
+@query(
+    "w01_stream_rejected",
+    with_sql("SELECT DISTINCT outcome_id, 'ORIGIN_MISMATCH' AS reason FROM oc WHERE origin IS DISTINCT FROM 'local'", OUTCOME_SQL),
+)
+def stream_rejected(spark, d):
+    return ingested(spark, d)[1].select("outcome_id", "reason").distinct()
+
+
+def ingested(spark, d):
+    """The ledger and the rejected rows after two runs; the second replays everything and must add nothing to the ledger."""
+    ledger, rejected = scratch_path(spark, "ledger"), scratch_path(spark, "rejected")
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    W.stream_outcome_ingest(outcomes(stream).where("origin = 'local'"), ledger, mark).awaitTermination()
-    # A second run from scratch replays everything and must add nothing.
-    W.stream_outcome_ingest(outcomes(stream).where("origin = 'local'"), ledger, scratch_path(spark, "mark")).awaitTermination()
-    return spark.read.parquet(ledger).groupBy("outcome_id").agg(F.count(F.lit(1)).alias("appended"))
-
+    for _ in range(2):
+        W.stream_outcome_ingest(outcomes(stream), ledger, scratch_path(spark, "mark"), rejected).awaitTermination()
+    return spark.read.parquet(ledger), spark.read.parquet(rejected)
 
 
 @query("w02_stream_factor_values", panel_sql(f"SELECT {KEY}, return_5d AS score FROM panel"))

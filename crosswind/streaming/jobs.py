@@ -15,7 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from crosswind.operators.cross_section import CrossSection
-from crosswind.operators.ledgers import ingest_outcomes
+from crosswind.operators.ledgers import ingest_outcomes, rejected_outcomes
 from crosswind.operators.scores import Factor, context_dates, restrict_to_keys, universe_mask
 from crosswind.session import durable
 from crosswind.sources import values as V
@@ -32,21 +32,21 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def stream_outcome_ingest(
-    outcomes: DataFrame, ledger: str, checkpoint: str, watermark: str = "1 hour", origin: str = "local"
+    outcomes: DataFrame, ledger: str, checkpoint: str, rejected: str, origin: str = "local"
 ) -> StreamingQuery:
-    """Append outcomes once each.
+    """Append outcomes once each, however late they come.
 
-    Replays close in time are dropped by bounded state under the watermark; later ones by an
-    anti-join with the ledger itself.
+    Replays are dropped within the batch and by an anti-join with the ledger, so no event time decides what is kept.
+    Rows of another origin go to the table `rejected` with their reason.
     """
-    recent = outcomes.withWatermark("observed_at", watermark).dropDuplicatesWithinWatermark(["outcome_id"])
 
     def append(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         held = read_table(spark, ledger, batch.schema)
         ingest_outcomes(held, batch, origin).write.mode("append").parquet(ledger)
+        rejected_outcomes(batch, origin).write.mode("append").parquet(rejected)
 
-    return recent.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return outcomes.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_factor_values(
