@@ -189,6 +189,20 @@ def faulty_panel(spark, sf_dir):
     return first.unionByName(keyed(base.where("is_st"), "close", F.lit("1").alias("market_cap"), "is_st"))
 
 
+@query(
+    "s10_validate_faulty_panel",
+    panel_sql(
+        "SELECT COUNT(*) AS row_count, COUNT(DISTINCT instrument) AS instruments, COUNT(DISTINCT trade_date) AS dates, "
+        "MIN(trade_date) AS min_date, MAX(trade_date) AS max_date, '' AS missing_columns, '' AS optional_columns, "
+        "COUNT(*) > 0 AND COUNT(*) FILTER (WHERE close IS NULL OR TRY_CAST(market_cap AS DOUBLE) IS NULL) = 0 "
+        "AND COUNT(*) = COUNT(DISTINCT (trade_date, instrument)) AS ok FROM faulty",
+        FAULTY_SQL,
+    ),
+)
+def validate_faulty(spark, sf_dir):
+    return P.validate_panel(faulty_panel(spark, sf_dir))
+
+
 @query(
     "s11_panel_quality",
     panel_sql(

@@ -119,10 +119,14 @@ def read_panel(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def validate_panel(df: DataFrame) -> DataFrame:
-    """One row: counts, date range, missing and optional columns, ok."""
+def validate_panel(df: DataFrame, quality: bool = True) -> DataFrame:
+    """One row: counts, date range, missing and optional columns, ok.
+
+    `ok` needs rows, all required columns and, with `quality`, no problem that `panel_quality` finds.
+    """
     missing = [c for c, r in FIELD_ROLES.items() if r != "optional" and c not in df.columns]
     optional = [c for c, r in FIELD_ROLES.items() if r == "optional" and c in df.columns]
+    clean = panel_quality(df).agg(F.count("*")).scalar() == 0 if quality and not missing else F.lit(True)
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count_distinct("instrument").alias("instruments"),
@@ -133,7 +137,7 @@ def validate_panel(df: DataFrame) -> DataFrame:
         {
             "missing_columns": F.lit(",".join(sorted(missing))),
             "optional_columns": F.lit(",".join(sorted(optional))),
-            "ok": (F.col("row_count") > 0) & F.lit(not missing),
+            "ok": (F.col("row_count") > 0) & F.lit(not missing) & clean,
         }
     )
 
@@ -264,7 +268,7 @@ def coverage_rows(df: DataFrame) -> DataFrame:
         F.struct(F.lit("coverage").alias("section"), F.lit(c).alias("item"), F.col(c).cast("string").alias("status"))
         for c in items
     ]
-    return validate_panel(df).select(F.inline(F.array(*pairs)))
+    return validate_panel(df, quality=False).select(F.inline(F.array(*pairs)))
 
 
 def data_status(df: DataFrame) -> DataFrame:
