@@ -66,4 +66,21 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+# What only one SQL statement can say: all pairs by brute force.
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT vec_id, (SELECT COUNT(*) FROM links WHERE links.a = e.vec_id) AS n_links,
+       (SELECT MIN(b) FROM reach WHERE reach.a = e.vec_id) AS component_id,
+       (SELECT MIN(b) FROM reach WHERE reach.a = e.vec_id) = vec_id AS kept
+FROM embeddings e
+"""
+ORACLES: dict[str, str] = {"op2_projection_passes": OP2_SQL}
