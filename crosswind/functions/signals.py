@@ -2,12 +2,15 @@
 
 ``rank(delta(field("close"), 5))`` builds one Column expression; ``lookback`` says how
 many earlier rows per instrument must be present before the value can be trusted, which
-is what an incremental job needs to slice its input.
+is what an incremental job needs to slice its input. ``stages`` splits that need at each
+cross-sectional step: rows of history above the outermost one, then below it, and so on,
+since below a cross-section the history of every instrument of a date counts.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import zip_longest
 
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -52,9 +55,27 @@ KEYS = Keys()
 class Signal:
     col: Column
     lookback: int = 0
+    stages: tuple[int, ...] | None = None
+
+    def __post_init__(self):
+        if self.stages is None:
+            object.__setattr__(self, "stages", (self.lookback,))
+
+    def then(self, col: Column, rows: int = 0) -> "Signal":
+        """A value made from this one and its ``rows`` earlier values of the same instrument."""
+        return Signal(col, self.lookback + rows, (self.stages[0] + rows, *self.stages[1:]))
+
+    def across(self, col: Column) -> "Signal":
+        """A value made from this one at all instruments of a date."""
+        return Signal(col, self.lookback, (0, *self.stages))
+
+    def beside(self, other: "Signal", col: Column) -> "Signal":
+        """A value made from two; needs of like depth below the result are merged."""
+        stages = tuple(max(pair) for pair in zip_longest(self.stages, other.stages, fillvalue=0))
+        return Signal(col, max(self.lookback, other.lookback), stages)
 
     def __neg__(self):
-        return Signal(-self.col, self.lookback)
+        return self.then(-self.col)
 
     def __pos__(self):
         return self
@@ -105,7 +126,7 @@ def as_signal(x) -> Signal:
 
 def _binary(a, b, op) -> Signal:
     a, b = as_signal(a), as_signal(b)
-    return Signal(op(a.col, b.col), max(a.lookback, b.lookback))
+    return a.beside(b, op(a.col, b.col))
 
 
 def window_length(n: float) -> int:
@@ -126,17 +147,17 @@ def clean(x: Column) -> Column:
 
 def absolute(x) -> Signal:
     x = as_signal(x)
-    return Signal(F.abs(x.col), x.lookback)
+    return x.then(F.abs(x.col))
 
 
 def log(x) -> Signal:
     x = as_signal(x)
-    return Signal(F.when(x.col > 0, F.ln(x.col)), x.lookback)
+    return x.then(F.when(x.col > 0, F.ln(x.col)))
 
 
 def sign(x) -> Signal:
     x = as_signal(x)
-    return Signal(F.signum(x.col), x.lookback)
+    return x.then(F.signum(x.col))
 
 
 def signedpower(x, p) -> Signal:
@@ -156,7 +177,7 @@ def pairwise_max(x, y) -> Signal:
 
 def delay(x, n: int, keys: Keys = KEYS) -> Signal:
     x, n = as_signal(x), window_length(n)
-    return Signal(F.lag(x.col, n).over(keys.over_series()), x.lookback + n)
+    return x.then(F.lag(x.col, n).over(keys.over_series()), n)
 
 
 def delta(x, n: int, keys: Keys = KEYS) -> Signal:
@@ -167,7 +188,7 @@ def delta(x, n: int, keys: Keys = KEYS) -> Signal:
 def _rolling(x, n, keys, agg) -> Signal:
     x, n = as_signal(x), window_length(n)
     w = keys.trailing(n)
-    return Signal(F.when(F.count(x.col).over(w) == n, agg(x.col).over(w)), x.lookback + n - 1)
+    return x.then(F.when(F.count(x.col).over(w) == n, agg(x.col).over(w)), n - 1)
 
 
 def ts_sum(x, n: int, keys: Keys = KEYS) -> Signal:
@@ -215,7 +236,7 @@ def ts_rank(x, n: int, keys: Keys = KEYS) -> Signal:
         )
 
     pct = F.aggregate(held, zero, step, lambda a: F.try_divide(a["lt"] + (a["eq"] + 1) / 2.0, a["n"]))
-    return Signal(F.when(x.col.isNotNull() & (F.size(held) == n), pct), x.lookback + n - 1)
+    return x.then(F.when(x.col.isNotNull() & (F.size(held) == n), pct), n - 1)
 
 
 def decay_linear(x, n: int, keys: Keys = KEYS) -> Signal:
@@ -224,7 +245,7 @@ def decay_linear(x, n: int, keys: Keys = KEYS) -> Signal:
     w = keys.trailing(n)
     pos = F.row_number().over(keys.over_series())
     weighted = F.sum(x.col * pos).over(w) - (pos - n) * F.sum(x.col).over(w)
-    return Signal(F.when(F.count(x.col).over(w) == n, weighted / (n * (n + 1) / 2.0)), x.lookback + n - 1)
+    return x.then(F.when(F.count(x.col).over(w) == n, weighted / (n * (n + 1) / 2.0)), n - 1)
 
 
 def _rows_since(x, n, keys, sign_) -> Signal:
@@ -232,7 +253,7 @@ def _rows_since(x, n, keys, sign_) -> Signal:
     w = keys.trailing(n)
     pos = F.row_number().over(keys.over_series())
     best = F.max_by(pos, F.struct(sign_ * x.col, pos)).over(w)
-    return Signal(F.when(F.count(x.col).over(w) == n, (pos - best).cast("double")), x.lookback + n - 1)
+    return x.then(F.when(F.count(x.col).over(w) == n, (pos - best).cast("double")), n - 1)
 
 
 def ts_argmax(x, n: int, keys: Keys = KEYS) -> Signal:
@@ -249,7 +270,8 @@ def _paired(x, y, n, keys, value) -> Signal:
     both = x.col.isNotNull() & y.col.isNotNull()
     a, b = F.when(both, x.col), F.when(both, y.col)
     w = keys.trailing(n)
-    return Signal(F.when(F.count(a).over(w) == n, value(a, b, w)), max(x.lookback, y.lookback) + n - 1)
+    joint = F.when(F.count(a).over(w) == n, value(a, b, w))
+    return x.beside(y, joint).then(joint, n - 1)
 
 
 def correlation(x, y, n: int, keys: Keys = KEYS) -> Signal:
@@ -283,14 +305,14 @@ def rank(x, keys: Keys = KEYS) -> Signal:
     ordered = keys.over_cross().orderBy(x.col.asc_nulls_last())
     below, ties = F.rank().over(ordered), F.count(x.col).over(peers(ordered))
     share = F.try_divide(below + (ties - 1) / 2.0, F.count(x.col).over(keys.over_cross()))
-    return Signal(F.when(x.col.isNotNull(), share), x.lookback)
+    return x.across(F.when(x.col.isNotNull(), share))
 
 
 def zscore(x, keys: Keys = KEYS) -> Signal:
     x = as_signal(x)
     w = keys.over_cross()
     spread = F.when(F.min(x.col).over(w) < F.max(x.col).over(w), F.stddev_samp(x.col).over(w))
-    return Signal(F.try_divide(x.col - F.avg(x.col).over(w), spread), x.lookback)
+    return x.across(F.try_divide(x.col - F.avg(x.col).over(w), spread))
 
 
 def winsorize(x, q: float, keys: Keys = KEYS) -> Signal:
@@ -298,7 +320,7 @@ def winsorize(x, q: float, keys: Keys = KEYS) -> Signal:
     check_tail(q)
     w = keys.over_cross()
     low, high = F.percentile(x.col, F.lit(q)).over(w), F.percentile(x.col, F.lit(1.0 - q)).over(w)
-    return Signal(F.when(x.col.isNotNull(), F.least(F.greatest(x.col, low), high)), x.lookback)
+    return x.across(F.when(x.col.isNotNull(), F.least(F.greatest(x.col, low), high)))
 
 
 def ntile(x, n: int, keys: Keys = KEYS) -> Signal:
@@ -306,17 +328,17 @@ def ntile(x, n: int, keys: Keys = KEYS) -> Signal:
     check_buckets(n)
     x = as_signal(x)
     bucket = F.least(F.greatest(F.ceil(rank(x, keys).col * n), F.lit(1)), F.lit(n)).cast("double")
-    return Signal(F.when(x.col.isNotNull(), bucket), x.lookback)
+    return x.across(F.when(x.col.isNotNull(), bucket))
 
 
 def scale(x, target: float = 1.0, keys: Keys = KEYS) -> Signal:
     x = as_signal(x)
-    return Signal(F.try_divide(x.col, F.sum(F.abs(x.col)).over(keys.over_cross())) * F.lit(float(target)), x.lookback)
+    return x.across(F.try_divide(x.col, F.sum(F.abs(x.col)).over(keys.over_cross())) * F.lit(float(target)))
 
 
 def group_neutralize(x, group: str, keys: Keys = KEYS) -> Signal:
     x, g = as_signal(x), F.col(group)
-    return Signal(F.when(g.isNotNull(), x.col - F.avg(x.col).over(_over(keys, g))), x.lookback)
+    return x.across(F.when(g.isNotNull(), x.col - F.avg(x.col).over(_over(keys, g))))
 
 
 def finite_pair(y: Column, x: Column) -> tuple[Column, Column]:
@@ -332,7 +354,8 @@ def residualize(y, x, keys: Keys = KEYS) -> Signal:
     w = keys.over_cross()
     slope = F.try_divide(F.covar_pop(a, b).over(w), F.var_pop(b).over(w))
     value = a - (F.avg(a).over(w) + slope * (b - F.avg(b).over(w)))
-    return Signal(F.when(F.min(b).over(w) < F.max(b).over(w), value), max(x.lookback, y.lookback))
+    residual = F.when(F.min(b).over(w) < F.max(b).over(w), value)
+    return y.beside(x, residual).across(residual)
 
 
 def check_tail(q: float) -> None:

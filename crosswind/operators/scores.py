@@ -21,7 +21,12 @@ UNIVERSE_FILTERS = ("is_st == false", "is_st == 0", "not is_st")
 
 @dataclass(frozen=True)
 class Factor:
-    """A factor: how to add ``score`` to a panel, and how much history that needs."""
+    """A factor: how to add ``score`` to a panel, and how much history that needs.
+
+    ``stages`` are the rows of history above and below each cross-sectional step (see ``Signal``). A factor that
+    does not state them may rank dates anywhere, so its whole look-back counts for every instrument of a date, and
+    a build with cross-sections inside time series must state them.
+    """
 
     factor_id: str
     build: Callable[[DataFrame, CrossSection], DataFrame]
@@ -29,12 +34,17 @@ class Factor:
     filters: tuple[str, ...] = ()
     horizon: int = 5
     formula: str = ""
+    stages: tuple[int, ...] | None = None
+
+    @property
+    def needs(self) -> tuple[int, ...]:
+        return self.stages or (0, self.lookback)
 
     @classmethod
     def of(cls, factor_id: str, signal: Signal | str, **kw) -> "Factor":
         """A factor that is one Column expression; its look-back comes with the signal."""
         sig = as_signal(signal)
-        return cls(factor_id, lambda df, xs: df.withColumn("score", sig.col), lookback=sig.lookback, **kw)
+        return cls(factor_id, lambda df, xs: df.withColumn("score", sig.col), lookback=sig.lookback, stages=sig.stages, **kw)
 
 
 def eligible(filters: tuple[str, ...]) -> Column:
@@ -130,17 +140,40 @@ def trusted_cache(cached: DataFrame, panel: DataFrame, lookback: int) -> DataFra
     return joined.where(F.col("score").isNotNull() | F.col("_warm")).drop("_warm")
 
 
-def context_dates(panel: DataFrame, missing: DataFrame, lookback: int) -> DataFrame:
+def _near(panel: DataFrame, keys: DataFrame, before: int, after: int) -> DataFrame:
+    """Rows of the panel that have one of the keys, same instrument, from ``before`` rows earlier to ``after`` rows later."""
+    marked = panel.select(*ROW).join(keys.select(*ROW).distinct().withColumn("_key", F.lit(1)), ROW, "left")
+    around = KEYS.over_series().rowsBetween(-before, after)
+    return marked.select(*ROW, F.max("_key").over(around).alias("_near")).where("_near = 1").select(*ROW)
+
+
+def _whole_dates(panel: DataFrame, keys: DataFrame) -> DataFrame:
+    return panel.select(*ROW).join(keys.select("trade_date").distinct(), "trade_date", "left_semi")
+
+
+def context_dates(panel: DataFrame, missing: DataFrame, stages: int | tuple[int, ...]) -> DataFrame:
     """Dates needed to recompute the missing keys: each row whose instrument is missing
-    at that row or within the next ``lookback`` rows."""
-    marked = panel.select(*ROW).join(missing.select(*ROW).withColumn("_miss", F.lit(1)), ROW, "left")
-    ahead = KEYS.over_series().rowsBetween(0, lookback)
-    return marked.select("trade_date", F.max("_miss").over(ahead).alias("_need")).where("_need = 1").select("trade_date").distinct()
+    at that row or within the next look-back rows. Below a cross-sectional step every
+    instrument of the dates found so far counts as missing."""
+    above, *below = (stages,) if isinstance(stages, int) else stages
+    keys = _near(panel, missing, 0, above)
+    for rows in below:
+        keys = _near(panel, _whole_dates(panel, keys), 0, rows)
+    return keys.select("trade_date").distinct()
+
+
+def affected_keys(panel: DataFrame, changed: DataFrame, stages: int | tuple[int, ...]) -> DataFrame:
+    """Keys whose score depends on one of the changed keys: the way of ``context_dates`` in reverse."""
+    *below, above = reversed((stages,) if isinstance(stages, int) else stages)
+    keys = changed
+    for rows in below:
+        keys = _whole_dates(panel, _near(panel, keys, rows, 0))
+    return _near(panel, keys, above, 0)
 
 
-def incremental_report(panel: DataFrame, required: DataFrame, missing: DataFrame, lookback: int) -> DataFrame:
+def incremental_report(panel: DataFrame, required: DataFrame, missing: DataFrame, stages: int | tuple[int, ...]) -> DataFrame:
     """One row: mode and the counts that decide it."""
-    dates = context_dates(panel, missing, lookback)
+    dates = context_dates(panel, missing, stages)
     context = panel.join(dates, "trade_date", "left_semi")
 
     def part(df, name):
@@ -159,7 +192,7 @@ def incremental_report(panel: DataFrame, required: DataFrame, missing: DataFrame
     expanded = F.col("context_rows") >= F.floor(F.col("panel_rows") * 0.8)
     incremental = F.when(ratio >= 0.05, "date_block_incremental").otherwise("sparse_incremental")
     mode = F.when(F.col("missing_rows") == 0, "cache_only")
-    if lookback > 0:
+    if stages if isinstance(stages, int) else any(stages):
         mode = mode.when(ratio >= 0.5, "full_recompute").when(expanded, "full_recompute")
     mode = mode.otherwise(incremental)
     rows = F.when(mode == "cache_only", F.lit(0)).when(mode == "full_recompute", F.col("panel_rows")).otherwise(F.col("context_rows"))
@@ -169,28 +202,23 @@ def incremental_report(panel: DataFrame, required: DataFrame, missing: DataFrame
 
 
 def incremental_scores(panel: DataFrame, factor: Factor, cached: DataFrame, xs: CrossSection, mode: str) -> DataFrame:
-    """Stored values where trusted, computed ones elsewhere, masked by the universe.
+    """Scores of the required keys: stored values where trusted, computed ones elsewhere.
 
-    ``mode`` comes from ``incremental_report``; every mode gives the same scores.
+    ``mode`` comes from ``incremental_report``; every mode that computes gives the same scores.
     """
     required = required_keys(panel, factor.filters)
     held = restrict_to_keys(trusted_cache(cached.select(*ROW, "score"), panel, factor.lookback), required)
-    todo = missing_keys(panel, held)
+    todo = missing_keys(required, held)
     if mode == "cache_only":
         context = panel.where(F.lit(False))
     elif mode == "full_recompute":
         context = panel
     else:
-        dates = context_dates(panel, missing_keys(required, held), factor.lookback)
-        context = panel.join(dates, "trade_date", "left_semi")
+        context = panel.join(context_dates(panel, todo, factor.needs), "trade_date", "left_semi")
     fresh = universe_mask(factor.build(context, xs), factor.filters).select(*ROW, "score")
-    out = held.withColumn("source", F.lit("cached")).unionByName(
+    return held.withColumn("source", F.lit("cached")).unionByName(
         restrict_to_keys(fresh, todo).withColumn("source", F.lit("computed"))
     )
-    if not factor.filters:
-        return out
-    open_keys = required.withColumn("_in", F.lit(True))
-    return out.join(open_keys, ROW, "left").withColumn("score", F.when(F.col("_in"), F.col("score"))).drop("_in")
 
 
 def cache_only_scores(panel: DataFrame, cached: DataFrame, filters: tuple[str, ...] = ()) -> DataFrame:

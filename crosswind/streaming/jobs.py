@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from crosswind.operators.cross_section import CrossSection
 from crosswind.operators.ledgers import ingest_outcomes, rejected_outcomes
-from crosswind.operators.scores import Factor, context_dates, restrict_to_keys, universe_mask
+from crosswind.operators.scores import Factor, affected_keys, context_dates, restrict_to_keys, universe_mask
 from crosswind.session import durable
 from crosswind.sources import values as V
 
@@ -54,8 +54,8 @@ def stream_factor_values(
 ) -> StreamingQuery:
     """Keep factor values up to date as panel days arrive.
 
-    Each batch is added to the panel table, only the dates within the factor's look-back of
-    the new rows are read again, and the touched factor/year partitions are merged.
+    Each batch is added to the panel table, the new keys and stored ones that look back on them (a late day changes
+    later scores) are computed from the dates they need, and the touched factor/year partitions are merged.
     """
 
     def update(batch: DataFrame, batch_id: int) -> None:
@@ -63,9 +63,9 @@ def stream_factor_values(
         stamped = batch.withColumns({"batch_id": F.lit(batch_id), "year": F.year("trade_date")})
         stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "year").parquet(panel)
         whole = spark.read.parquet(panel).drop("batch_id")
-        new = batch.select(*ROW).distinct()
+        new = durable(affected_keys(whole, batch.select(*ROW), factor.needs))
         # Few dates; their years prune the folders of the second read.
-        near = durable(context_dates(whole, new, factor.lookback))
+        near = durable(context_dates(whole, new, factor.needs))
         years = [r.year for r in near.select(F.year("trade_date").alias("year")).distinct().collect()]
         context = whole.where(F.col("year").isin(years)).drop("year").join(near, "trade_date", "left_semi")
         fresh = universe_mask(factor.build(context, cross(context)), factor.filters)
