@@ -429,14 +429,13 @@ class Backtest:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        """One row per run with every headline figure."""
-        out = (
-            return_summary(self.period_table, ["run_id"])
-            .join(self.exposure.drop("periods", "exposure_days"), "run_id")
-            .join(self.skips, "run_id")
-            .join(self.drawdown, "run_id", "left")
-            .join(self.active_risk, "run_id", "left")
-        )
+        """One row per run with every headline figure; a run without periods has counts and returns of 0."""
+        out = self.runs.select("run_id")
+        for part in (
+            return_summary(self.period_table, ["run_id"]), self.exposure.drop("periods", "exposure_days"), self.skips, self.drawdown, self.active_risk
+        ):
+            out = out.join(part, "run_id", "left")
+        out = out.na.fill(0, [*EMPTY_AS_ZERO, "span_days", "calendar_days", "skipped_no_coverage", "skipped_thin"])
         skipped = F.col("skipped_no_coverage") + F.col("skipped_thin") > 0
         out = out.withColumns(
             {
@@ -457,7 +456,7 @@ class Backtest:
         return out
 
     def segments(self, splits: tuple[Split, ...] = DEFAULT_SPLITS) -> DataFrame:
-        """Metrics per sample segment; a period reaching into the next segment is purged."""
+        """Metrics per run and declared sample segment; a period reaching into the next segment is purged."""
         dated = self.period_table.select("run_id", "signal_date").distinct()
         assigned = assign_splits(dated, splits, ("run_id",), "signal_date", F.lit(0))
         starts = assigned.groupBy("run_id", "split").agg(F.min("signal_date").alias("_start"))
@@ -470,10 +469,11 @@ class Backtest:
         by = ["run_id", "split"]
         summary = return_summary(kept, by)
         spans = kept.groupBy(*by).agg(F.min("signal_date").alias("start_date"), F.max("signal_date").alias("end_date"))
-        out = purged.join(summary, by, "left").join(spans, by, "left")
+        declared = self.runs.select("run_id", F.explode(F.array(*[F.lit(s.name) for s in splits])).alias("split"))
+        out = declared.join(purged, by, "left").join(summary, by, "left").join(spans, by, "left").na.fill(0, ["purged", *EMPTY_AS_ZERO])
         for side in ("gross", "net"):
             out = out.withColumn(f"{side}_annual", reportable_annual(F.col(f"{side}_cumulative"), F.col("exposure_days")))
-        return out.na.fill(0, ["periods"])
+        return out
 
     def warnings(self, splits: tuple[Split, ...] = DEFAULT_SPLITS) -> DataFrame:
         """Warning tokens per run, in a fixed order."""
@@ -516,6 +516,9 @@ class Backtest:
         )
 
 
+EMPTY_AS_ZERO = ["periods", "exposure_days", "partial_periods", "lost_positions", "cost_sum", "gross_cumulative", "net_cumulative"]
+
+
 def transaction_cost(traded: Column, days: Column, commission: Column, slippage: Column, borrow: Column) -> Column:
     return traded * (commission + slippage) / 10000.0 + borrow / 10000.0 * days / YEAR
 

@@ -162,6 +162,12 @@ register(
     lambda spark, d: summary(spark, d, FACTORS, ALL, p_values=True).select(
         "factor_id", "horizon", *rounded("t_stat_hac", "p_value_hac")
     ),
+    panel_sql(
+        "SELECT factor_id, horizon, ROUND(t_stat_hac, 6) AS t_stat_hac, ROUND(t * EXP(-x * x - 1.26551223e0 + t * (1.00002368e0 + t * (0.37409196e0 + "
+        "t * (0.09678418e0 + t * (-0.18628806e0 + t * (0.27886807e0 + t * (-1.13520398e0 + t * (1.48851587e0 + t * (-0.82215223e0 + "
+        "t * 0.17087277e0))))))))), 6) AS p_value_hac FROM (SELECT *, 1 / (1 + x / 2) AS t FROM (SELECT *, ABS(t_stat_hac) / SQRT(2) AS x FROM summ))",
+        *MANY_SQL, summary_sql(),
+    ),
 )
 register(
     "v07_coverage_lineage",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from crosswind.functions import signals as S
 from crosswind.functions import text as T
+from crosswind.operators import evaluate as E
 from crosswind.operators import scores as C
 from crosswind.operators.cross_section import CrossSection
 
@@ -121,3 +122,21 @@ def test_redaction_and_fingerprints(spark):
         (T.formula_fingerprint(F.col("a"), F.lit(5), F.array(F.lit("x"), F.lit("y"))) == T.formula_fingerprint(F.col("b"), F.lit(5), F.array(F.lit("y"), F.lit("x")))).alias("same"),
     ).first()
     assert row.r == "see <redacted-path> and api_key=<redacted> or <redacted-path>" and row.same
+
+
+def test_two_sided_p_is_that_of_the_normal_distribution(spark):
+    t = [0.0, 0.3, -1.0, 1.96, -2.5758, 4.0, 8.0]
+    got = [r.p for r in spark.createDataFrame([(float(v),) for v in t], "t double").select(E.two_sided_p(F.col("t")).alias("p")).collect()]
+    assert got == pytest.approx([math.erfc(abs(v) / math.sqrt(2)) for v in t], rel=2e-7)
+    assert spark.sql("SELECT CAST(NULL AS double) AS t").select(E.two_sided_p(F.col("t")).alias("p")).first().p is None
+
+
+def test_a_split_emptied_by_its_embargo_reports(spark):
+    days = spark.range(10).select(
+        F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("trade_date"), F.lit("F").alias("factor_id"), F.lit(5).alias("horizon"),
+        (F.col("id") / 10).alias("ic"), *[F.lit(3).cast("long").alias(c) for c in ("raw_rows", "score_rows", "label_rows", "joint_rows")])
+    got = {r.split: r for r in E.split_metrics(days, embargo=50).collect()}
+    assert set(got) == {s.name for s in E.DEFAULT_SPLITS}
+    empty = got[E.DEFAULT_SPLITS[0].name]
+    assert (empty.ic_days, empty.date_count, empty.rank_icir, empty.coverage, empty.t_stat_hac, empty.warning_codes) == (0, 0, 0.0, 0.0, None, [])
+    assert got[E.DEFAULT_SPLITS[-1].name].ic_days > 0
