@@ -46,6 +46,22 @@ def panel_scan(spark, sf_dir):
     )
 
 
+@query(
+    "s02_panel_path_resolve",
+    panel_sql(
+        f"SELECT {KEY}, close, market_cap, is_st, volume, ROUND(volatility_5d, 6) AS volatility_5d FROM panel"
+    ),
+)
+def stored_panel(spark, sf_dir):
+    """Written below a root folder with text dates and flags, found there, validated and read."""
+    from crosswind.session import scratch_path
+
+    root = scratch_path(spark, "root")
+    loose = panel(spark, sf_dir).withColumn("trade_date", F.date_format("trade_date", "yyyy-MM-dd"))
+    loose.write.parquet(f"{root}/data/panel.parquet")
+    return keyed(P.read_panel(spark, root), "close", "market_cap", "is_st", "volume", r6("volatility_5d").alias("volatility_5d"))
+
+
 signal("s06_return_1d", lambda: S.Signal(F.col("return_1d")), "return_1d", exact=True)
 signal("s07_return_5d", lambda: S.Signal(F.col("return_5d")), "return_5d", exact=True)
 signal("s08_volatility_5d", lambda: S.Signal(F.col("volatility_5d")), "volatility_5d")
@@ -136,7 +152,7 @@ def partitioned_layout(spark, sf_dir):
     ),
 )
 def snapshot_panel(spark, sf_dir):
-    return P.snapshot_to_panel(*snapshot(spark, sf_dir)).withColumn("volatility_5d", r6("volatility_5d"))
+    return P.load_snapshot(*snapshot(spark, sf_dir)).withColumn("volatility_5d", r6("volatility_5d"))
 
 
 # Order lines repeat a (day, supplier) key with different prices: a real conflict table.
@@ -247,6 +263,21 @@ def validate_snapshot(spark, sf_dir):
     return P.validate_snapshot(*snapshot(spark, sf_dir))
 
 
+# The same report over a snapshot whose prices repeat a key with other values.
+@query(
+    "s13_validate_conflicting_snapshot",
+    with_sql(
+        "SELECT 'conflict' AS section, 'price' AS item, CAST(COUNT(*) AS VARCHAR) AS status FROM price WHERE vol IS NOT NULL HAVING COUNT(*) > 0 "
+        "UNION ALL SELECT 'coverage', 'ok', CASE WHEN EXISTS (SELECT 1 FROM price WHERE vol IS NOT NULL) THEN 'false' ELSE 'true' END",
+        SNAPSHOT_SQL,
+    ),
+)
+def validate_conflicting_snapshot(spark, sf_dir):
+    price, basic = snapshot(spark, sf_dir)
+    twice = price.unionByName(price.where("vol is not null").withColumn("close", F.col("close") + 1))
+    return P.validate_snapshot(twice, basic).where("section = 'conflict' or item = 'ok'")
+
+
 ROLE_ROWS = ", ".join(f"('{f}', '{r}')" for f, r in P.FIELD_ROLES.items())
 HELD_ROWS = "(SELECT UNNEST(['trade_date','instrument','volume','amount','close','industry','is_st','market_cap','return_1d','return_5d','volatility_5d']) AS held)"
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crosswind.functions.signals import KEYS
+from crosswind.session import durable
 
 # The declared panel fields and their roles.
 FIELD_ROLES = {
@@ -103,11 +104,13 @@ def resolve_panel_path(spark: SparkSession, root: str) -> str:
 
 
 def read_panel(spark: SparkSession, root: str) -> DataFrame:
-    """Read a stored panel, cast its keys and flags, turn NaN into NULL."""
+    """Read a stored panel, cast its keys and flags, turn NaN into NULL; a panel that does not validate is refused."""
     df = spark.read.parquet(resolve_panel_path(spark, root))
     missing = [c for c, role in FIELD_ROLES.items() if role != "optional" and c not in df.columns]
     if missing:
         raise ValueError(f"panel is missing columns: {missing}")
+    if not validate_panel(df).first()["ok"]:
+        raise ValueError("panel refused: " + (", ".join(r["problem"] for r in panel_quality(df).collect()) or "no rows"))
     doubles = [c for c, t in df.dtypes if t in ("double", "float")]
     return df.withColumns(
         {
@@ -233,6 +236,13 @@ def snapshot_to_panel(price: DataFrame, basic: DataFrame) -> DataFrame:
     return with_returns(out)
 
 
+def load_snapshot(price: DataFrame, basic: DataFrame) -> DataFrame:
+    """The panel of a snapshot whose keys do not contradict each other; any other snapshot is refused."""
+    if not snapshot_conflicts(price, basic).isEmpty():
+        raise ValueError("snapshot refused: rows that differ share a key")
+    return snapshot_to_panel(price, basic)
+
+
 def snapshot_synthesized(price: DataFrame, basic: DataFrame) -> DataFrame:
     """Fields the snapshot does not really hold: is_st always, market_cap when any is missing."""
     spark = price.sparkSession
@@ -248,10 +258,13 @@ def snapshot_synthesized(price: DataFrame, basic: DataFrame) -> DataFrame:
 
 
 def validate_snapshot(price: DataFrame, basic: DataFrame) -> DataFrame:
-    """Long report: the panel's validation row, key conflicts and synthesized fields."""
-    conflicts = snapshot_conflicts(price, basic).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    """Long report: the panel's validation row, key conflicts and synthesized fields; a conflict makes `ok` false."""
+    conflicts = durable(snapshot_conflicts(price, basic).groupBy("source").agg(F.count(F.lit(1)).alias("n")))
+    coverage = coverage_rows(snapshot_to_panel(price, basic))
+    if not conflicts.isEmpty():
+        coverage = coverage.withColumn("status", F.when(F.col("item") == "ok", "false").otherwise(F.col("status")))
     return (
-        coverage_rows(snapshot_to_panel(price, basic))
+        coverage
         .unionByName(conflicts.select(F.lit("conflict").alias("section"), F.col("source").alias("item"), F.col("n").cast("string").alias("status")))
         .unionByName(
             snapshot_synthesized(price, basic).select(

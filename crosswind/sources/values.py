@@ -108,8 +108,10 @@ def merge_updates(existing: DataFrame, updates: DataFrame) -> DataFrame:
 
 def upsert(spark: SparkSession, path: str, updates: DataFrame) -> None:
     """Merge updates into the table, rewriting only the factor/year partitions they touch."""
-    touched = updates.select("factor_id", "year").distinct()
-    affected = read_values(spark, path).join(touched, ["factor_id", "year"], "left_semi")
+    touched = durable(updates.select("factor_id", "year").distinct())
+    # The years of a calendar are few; as literals they prune the folders that the scan lists.
+    years = [r["year"] for r in touched.select("year").distinct().collect()]
+    affected = read_values(spark, path).where(F.col("year").isin(years)).join(touched, ["factor_id", "year"], "left_semi")
     # The merge is written out before its own input partitions are replaced.
     write_values(durable(merge_updates(affected, updates)), path, "overwrite")
 
