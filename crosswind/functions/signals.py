@@ -221,22 +221,28 @@ def larger(x, y, keys: Keys = KEYS) -> Signal:
     return ts_max(x, y, keys) if isinstance(y, (int, float)) else pairwise_max(x, y)
 
 
+def finite(x: Column) -> Column:
+    """The value itself, or null for infinities and NaN."""
+    return F.when(F.abs(x.cast("double")) < float("inf"), x)
+
+
 def ts_rank(x, n: int, keys: Keys = KEYS) -> Signal:
-    """Average-tie percentile of the newest value inside its window; needs ``n`` rows."""
+    """Average-tie percentile of the newest value among the finite ones of its window; needs ``n`` rows."""
     x, n = as_signal(x), window_length(n)
-    held = F.collect_list(F.struct(x.col.alias("v"))).over(keys.trailing(n))
+    newest = finite(x.col)
+    held = F.collect_list(F.struct(newest.alias("v"))).over(keys.trailing(n))
     # One pass over the bounded window: rows below, rows equal, rows present.
     zero = F.struct(F.lit(0).alias("lt"), F.lit(0).alias("eq"), F.lit(0).alias("n"))
 
     def step(acc, e):
         return F.struct(
-            (acc["lt"] + F.when(e["v"] < x.col, 1).otherwise(0)).alias("lt"),
-            (acc["eq"] + F.when(e["v"] == x.col, 1).otherwise(0)).alias("eq"),
+            (acc["lt"] + F.when(e["v"] < newest, 1).otherwise(0)).alias("lt"),
+            (acc["eq"] + F.when(e["v"] == newest, 1).otherwise(0)).alias("eq"),
             (acc["n"] + F.when(e["v"].isNotNull(), 1).otherwise(0)).alias("n"),
         )
 
     pct = F.aggregate(held, zero, step, lambda a: F.try_divide(a["lt"] + (a["eq"] + 1) / 2.0, a["n"]))
-    return x.then(F.when(x.col.isNotNull() & (F.size(held) == n), pct), n - 1)
+    return x.then(F.when(newest.isNotNull() & (F.size(held) == n), pct), n - 1)
 
 
 def decay_linear(x, n: int, keys: Keys = KEYS) -> Signal:
@@ -253,7 +259,7 @@ def _rows_since(x, n, keys, sign_) -> Signal:
     w = keys.trailing(n)
     pos = F.row_number().over(keys.over_series())
     best = F.max_by(pos, F.struct(sign_ * x.col, pos)).over(w)
-    return x.then(F.when(F.count(x.col).over(w) == n, (pos - best).cast("double")), n - 1)
+    return x.then(F.when(F.count(finite(x.col)).over(w) == n, (pos - best).cast("double")), n - 1)
 
 
 def ts_argmax(x, n: int, keys: Keys = KEYS) -> Signal:
