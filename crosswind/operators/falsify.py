@@ -106,7 +106,7 @@ def placebo_percentile(frame: DataFrame, xs: CrossSection, seed: int, permutatio
     )
     base = durable(base)
     perms = base.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    perms = perms.withColumn("_h", F.xxhash64(F.lit(seed), "perm", "trade_date", "instrument"))
+    perms = perms.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "perm", "trade_date", "instrument")))
     keys = ("perm", "trade_date")
     # Places by instrument and by hash; the row at hash place p receives the score of row p.
     by_name = xs.ordinal(base.withColumn("_o", F.lit(0)), "_o", "_place", "_c", ("trade_date",)).select("trade_date", "_place", "zs", "_n")

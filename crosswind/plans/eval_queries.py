@@ -341,11 +341,28 @@ register(
     lambda spark, d: E.daily_rank_ic(frame(spark, d), cross(spark, d), ()).select("trade_date", r6("ic").alias("ic"), "joint_rows"),
     panel_sql("SELECT trade_date, ROUND(ic, 6) AS ic, joint_rows FROM fd", FRAME_SQL, FDAILY),
 )
+PLACEBO_SQL = """
+pr AS (SELECT trade_date, instrument, RANK() OVER (PARTITION BY trade_date ORDER BY score) + (COUNT(*) OVER (PARTITION BY trade_date, score) - 1) / 2.0 AS rs,
+              RANK() OVER (PARTITION BY trade_date ORDER BY f) + (COUNT(*) OVER (PARTITION BY trade_date, f) - 1) / 2.0 AS rf
+       FROM lab WHERE score IS NOT NULL AND f IS NOT NULL),
+ps AS (SELECT *, AVG(rs) OVER t AS ms, AVG(rf) OVER t AS mf, STDDEV_POP(rs) OVER t AS ss, STDDEV_POP(rf) OVER t AS sf, COUNT(*) OVER t AS n
+       FROM pr WINDOW t AS (PARTITION BY trade_date)),
+pz AS (SELECT trade_date, instrument, (rs - ms) / ss AS zs, (rf - mf) / sf AS zf, n, ROW_NUMBER() OVER (PARTITION BY trade_date ORDER BY instrument) AS place
+       FROM ps WHERE ss > 0 AND sf > 0),
+ph AS (SELECT perm, trade_date, zf, ROW_NUMBER() OVER (PARTITION BY perm, trade_date ORDER BY md5(concat_ws('|', '7', perm, trade_date, instrument)), instrument) AS place
+       FROM pz, (SELECT UNNEST(range(1, 51)) AS perm)),
+pm AS (SELECT perm, AVG(ic) AS mean_ic FROM (SELECT perm, trade_date, SUM(pz.zs * ph.zf) / MAX(n) AS ic FROM ph JOIN pz USING (trade_date, place) GROUP BY 1, 2) GROUP BY 1),
+rl AS (SELECT AVG(ic) AS real_ic, COUNT(*) AS dates FROM (SELECT SUM(zs * zf) / MAX(n) AS ic FROM pz GROUP BY trade_date)),
+pp AS (SELECT SUM(CASE WHEN mean_ic < real_ic THEN 1.0 WHEN mean_ic = real_ic THEN 0.5 ELSE 0.0 END) / COUNT(*) AS percentile, MAX(real_ic) AS real_mean_ic,
+              COUNT(*) AS permutations, MAX(dates) AS evaluable_dates FROM pm, rl)"""
 register(
     "f03_placebo_percentile",
     lambda spark, d: X.placebo_percentile(frame(spark, d), cross(spark, d), seed=7).select(
         *rounded("percentile", "real_mean_ic"), "permutations", "evaluable_dates"
     ),
+    panel_sql(
+        "SELECT ROUND(percentile, 6) AS percentile, ROUND(real_mean_ic, 6) AS real_mean_ic, permutations, evaluable_dates FROM pp", FRAME_SQL, PLACEBO_SQL
+    ),
 )
 register(
     "f04_lag_ic",
@@ -398,4 +415,17 @@ register(
 register(
     "f08_run_falsification",
     lambda spark, d: X.falsification_report(frame(spark, d), cross(spark, d), seed=7).withColumn("value", r6("value")),
+    panel_sql(
+        "SELECT metric, segment, CASE WHEN (SELECT COUNT(ic) FROM fd) >= 30 THEN ROUND(value, 6) END AS value, observations FROM ("
+        "SELECT 'real_rank_ic_mean' AS metric, '' AS segment, AVG(ic) AS value, COUNT(ic) AS observations FROM fd "
+        "UNION ALL SELECT 'placebo_percentile', '', percentile, evaluable_dates FROM pp "
+        "UNION ALL SELECT 'lag_ic', 'lag_' || lag, mean_ic, dates FROM lm "
+        "UNION ALL SELECT 'ic_half_life', '', CASE WHEN points >= 2 AND s < 0 THEN LN(2.0) / -s END, points FROM hl "
+        "UNION ALL SELECT 'ic_decay_rate', '', CASE WHEN points >= 2 AND s < 0 THEN -s END, points FROM hl "
+        "UNION ALL SELECT 'block_ic', 'block_' || block, mean_ic, dates FROM bl "
+        "UNION ALL SELECT 'block_ic_spread', '', MAX(mean_ic) - MIN(mean_ic), 3 FROM bl "
+        "UNION ALL SELECT 'block_sign_consistency', '', ABS(SUM(SIGN(mean_ic))) / 3.0, 3 FROM bl)",
+        FRAME_SQL, FDAILY, LAG_SQL, daily_sql("lags", "lag", "ld"), LAG_MEAN, BLOCK_SQL, PLACEBO_SQL,
+        "hl AS (SELECT COUNT(*) AS points, REGR_SLOPE(LN(mean_ic), lag) AS s FROM lm WHERE mean_ic > 0)",
+    ),
 )
