@@ -218,6 +218,12 @@ def promotion_refs(observations: DataFrame, decisions: DataFrame) -> DataFrame:
     return refs.join(decisions.select("signature"), "signature", "left_semi").distinct()
 
 
+def promotion_runs(observations: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Runs and data windows behind each promoted signature, one row each; a set that grows with the data stays long."""
+    units = first_per_run(observations).select("signature", "run_id", "data_window")
+    return units.join(decisions.select("signature"), "signature", "left_semi")
+
+
 def superseding_rows(decisions: DataFrame, live: DataFrame) -> DataFrame:
     """Rows to append: new signatures, or ones whose count grew; the first wording stays.
 

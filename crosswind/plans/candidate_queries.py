@@ -456,15 +456,23 @@ register(
     lambda spark, d: R.accepted_ids(results(spark, d)),
     with_sql("SELECT factor_id, seq AS first_seq FROM res WHERE passed", *ALL_RES),
 )
+
+
+def stated(spark, d):
+    """Gated candidates of which some broke off with an error and some were not gated yet, by the last digit of their id."""
+    last = F.right("factor_id", F.lit(1))
+    return gated(spark, d).withColumns({"error": F.when(last == "7", "ENGINE_ERROR"), "passed": F.when(last != "3", F.col("passed"))})
+
+
 register(
     "r21_feedback_label",
-    lambda spark, d: R.feedback_label(gated(spark, d)).select("factor_id", "feedback", "hint", "requires_user_decision"),
+    lambda spark, d: R.feedback_label(stated(spark, d)).select("factor_id", "feedback", "hint", "requires_user_decision"),
     with_sql(
-        "SELECT factor_id, CASE WHEN passed THEN 'accepted_for_candidate' ELSE 'blocked' END AS feedback, CASE WHEN passed THEN 'NEARBY_VARIANTS' WHEN contains(t, 'field') THEN 'MAP_FIELD' "
+        "SELECT factor_id, CASE WHEN failed THEN 'failed' WHEN waits THEN 'pending_gate' WHEN passed THEN 'accepted_for_candidate' ELSE 'blocked' END AS feedback, CASE WHEN failed THEN 'REPAIR_ERROR' WHEN waits THEN 'EVALUATE_GATE' WHEN passed THEN 'NEARBY_VARIANTS' WHEN contains(t, 'field') THEN 'MAP_FIELD' "
         "WHEN contains(t, 'operator') THEN 'EXECUTABLE_OPERATORS' WHEN contains(t, 'direction') THEN 'CLARIFY_DIRECTION' WHEN contains(t, 'correlation') THEN 'REDUCE_CORRELATION' "
         "WHEN contains(t, 'turnover') OR contains(t, 'rebalance') THEN 'REDUCE_TURNOVER' WHEN contains(t, 'rank_ic') OR contains(t, 'icir') THEN 'REVISE_SIGNAL' ELSE 'BLOCKING_REASON' END AS hint, "
-        "NOT passed AND (contains(array_to_string(blocking, '|'), 'missing') OR contains(array_to_string(blocking, '|'), 'unknown')) AS requires_user_decision "
-        "FROM (SELECT *, lower(array_to_string(blocking, chr(10))) AS t FROM gt)",
+        "NOT failed AND NOT waits AND NOT passed AND (contains(array_to_string(blocking, '|'), 'missing') OR contains(array_to_string(blocking, '|'), 'unknown')) AS requires_user_decision "
+        "FROM (SELECT *, lower(array_to_string(blocking, chr(10))) AS t, factor_id LIKE '%7' AS failed, factor_id LIKE '%3' AS waits FROM gt)",
         CAND_SQL, SEG_SQL, GATED_SQL,
     ),
 )
@@ -522,21 +530,21 @@ register(
 )
 REVIEW_SQL = (
     "SELECT factor_id, array_to_string(" + drop_null("CASE WHEN rank_ic_mean > 0 THEN 'IC_POSITIVE' END, CASE WHEN split_icir > 0 THEN 'SPLIT_ICIR_POSITIVE' END, CASE WHEN net_sharpe > 0 THEN 'NET_SHARPE_POSITIVE' END")
-    + ", '; ') AS strengths, array_to_string(" + drop_null(
+    + ", '; ') AS strengths, array_to_string(list_concat(" + drop_null(
         "CASE WHEN rank_ic_mean <= 0 THEN 'IC_NOT_POSITIVE' END, CASE WHEN split_icir <= 0 THEN 'SPLIT_ICIR_NOT_POSITIVE' END, CASE WHEN net_sharpe <= 0 THEN 'NET_SHARPE_NOT_POSITIVE' END, "
         "CASE WHEN rebalance_rate > 0.8 THEN 'NAMES_CHANGE_OFTEN' END, CASE WHEN turnover_rate > 1.5 THEN 'WEIGHTS_CHANGE_MUCH' END, CASE WHEN gross_annual > 0 AND net_annual < gross_annual * 0.5 THEN 'COSTS_TAKE_HALF' END, "
         "CASE WHEN net_drawdown < -0.2 THEN 'DEEP_DRAWDOWN' END, CASE WHEN rank_icir < -0.1 THEN 'ICIR_FADES' END, CASE WHEN decays THEN 'RETURN_FADES' END"
     )
-    + ", '; ') AS risks, CASE WHEN len(s) > 0 THEN array_to_string(s, '; ') ELSE 'TRY_CHEAPER_FORM' END AS next_steps FROM (SELECT *, "
+    + ", CASE WHEN passed THEN [] ELSE blocking END), '; ') AS risks, CASE WHEN len(s) > 0 THEN array_to_string(s, '; ') ELSE 'TRY_CHEAPER_FORM' END AS next_steps FROM (SELECT *, "
     + drop_null("CASE WHEN rebalance_rate > 0.8 THEN 'HOLD_NAMES_LONGER' END, CASE WHEN turnover_rate > 1.5 THEN 'SMOOTH_WEIGHTS' END, CASE WHEN rank_icir < -0.1 THEN 'TRY_SIMPLER_FORM' END, CASE WHEN decays THEN 'CHECK_LATER_PERIOD' END")
-    + " AS s FROM cg)"
+    + " AS s FROM gt)"
 )
 
 
-@query("r27_self_review_flags", with_sql(REVIEW_SQL, CAND_SQL, SEG_SQL))
+@query("r27_self_review_flags", with_sql(REVIEW_SQL, CAND_SQL, SEG_SQL, GATED_SQL))
 def review(spark, d):
     decays = R.oos_decay_findings(segments(spark, d), 0.5).select("factor_id", F.col("decays").alias("net_decays"))
-    df = candidates(spark, d).join(decays, "factor_id", "left").withColumn("icir_decays", F.col("rank_icir") < -0.1)
+    df = gated(spark, d).join(decays, "factor_id", "left").withColumn("icir_decays", F.col("rank_icir") < -0.1)
     return R.self_review(df).select("factor_id", listed("strengths"), listed("risks"), listed("next_steps"))
 
 

@@ -156,6 +156,15 @@ def refs(spark, d):
     return L.promotion_refs(obs, L.promote(obs))
 
 
+@query(
+    "l05_promotion_runs",
+    with_sql("SELECT signature, run_id, data_window FROM pr_u WHERE signature IN (SELECT signature FROM pr)", OUTCOME_SQL, SIGN_SQL, PROMOTE_SQL),
+)
+def promoted_runs(spark, d):
+    obs = observations(spark, d)
+    return L.promotion_runs(obs, L.promote(obs))
+
+
 EARLY_SQL = ("ob1 AS (SELECT * FROM ob WHERE seq < (SELECT MAX(event_id) / 2 FROM events))", promote_sql("ob1", "p1"))
 
 
