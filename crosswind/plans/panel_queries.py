@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crosswind.functions import signals as S
+from crosswind.operators.cross_section import CrossSection
 from crosswind.plans.common import cross, keyed, panel
 from crosswind.plans.registry import ORACLES, QUERIES, PANEL_SQL, panel_sql, query, r6, register  # noqa: F401
 from crosswind.sources import panel as P
@@ -355,11 +356,17 @@ signal(
 
 
 def cross_query(name: str, apply, sql: str, exact: bool = False) -> None:
-    def run(spark, sf_dir):
-        df = apply(cross(spark, sf_dir), panel(spark, sf_dir))
-        return keyed(df, F.col("value") if exact else r6("value").alias("value"))
+    """Register a cross-sectional operator on the path that the table's size chooses, and on the one for large dates."""
+
+    def on(section):
+        def run(spark, sf_dir):
+            df = apply(section(spark, sf_dir), panel(spark, sf_dir))
+            return keyed(df, F.col("value") if exact else r6("value").alias("value"))
+
+        return run
 
-    register(name, run, sql)
+    register(name, on(cross), sql)
+    register(f"{name}_wide", on(lambda *_: CrossSection(wide=True)), sql)
 
 
 RANK = (

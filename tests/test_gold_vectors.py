@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from crosswind.functions import signals as S
 from crosswind.functions import text as T
+from crosswind.operators import candidates as R
 from crosswind.operators import evaluate as E
 from crosswind.operators import scores as C
 from crosswind.operators.cross_section import CrossSection
+from crosswind.sources import panel as P
 
 
 def series(spark, values, name="A"):
@@ -140,3 +142,41 @@ def test_a_split_emptied_by_its_embargo_reports(spark):
     empty = got[E.DEFAULT_SPLITS[0].name]
     assert (empty.ic_days, empty.date_count, empty.rank_icir, empty.coverage, empty.t_stat_hac, empty.warning_codes) == (0, 0, 0.0, 0.0, None, [])
     assert got[E.DEFAULT_SPLITS[-1].name].ic_days > 0
+
+
+def test_window_ranks_leave_out_what_is_not_finite(spark):
+    df = series(spark, [1.0, math.inf, 3.0, 2.0, -math.inf, math.nan, 4.0])
+    near(over_time(df, S.ts_rank(S.field("close"), 3)), [None, None, 1.0, 0.5, None, None, 1.0])
+    near(over_time(df, S.ts_argmax(S.field("close"), 2)), [None, None, None, 1.0, None, None, None])
+
+
+def test_a_stored_panel_with_faults_is_refused(spark, tmp_path):
+    day = dt.date(2024, 1, 1)
+    schema = "trade_date date, instrument string, close double, market_cap double, is_st boolean"
+    good = [(day, "A", 1.0, 2.0, False), (day, "B", 1.0, 2.0, False)]
+    for name, rows in (("good", good), ("twice", [*good, good[0]]), ("gap", [*good, (day, "C", None, 1.0, False)]), ("empty", [])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/panel.parquet")
+    assert P.read_panel(spark, f"{tmp_path}/good").count() == 2
+    for name in ("twice", "gap", "empty"):
+        with pytest.raises(ValueError, match="refused"):
+            P.read_panel(spark, f"{tmp_path}/{name}")
+    with pytest.raises(FileNotFoundError):
+        P.read_panel(spark, f"{tmp_path}/none")
+
+
+def test_a_snapshot_that_contradicts_itself_is_refused(spark):
+    price = spark.createDataFrame([("20240101", "A", 1.0, 1.0), ("20240101", "A", 1.0, 1.0)], "trade_date string, ts_code string, close double, vol double")
+    basic = spark.createDataFrame([("20240101", "A", 1.0, 1.0)], "trade_date string, ts_code string, total_mv double, circ_mv double")
+    assert P.load_snapshot(price, basic).count() == 1
+    with pytest.raises(ValueError, match="refused"):
+        P.load_snapshot(price.unionByName(price.withColumn("close", F.lit(2.0))), basic)
+
+
+def test_feedback_of_failed_and_ungated_candidates(spark):
+    rows = [("a", "boom", True, []), ("b", None, None, None), ("c", "", True, []), ("d", None, False, ["field missing"]), ("e", None, False, ["turnover high"])]
+    df = spark.createDataFrame(rows, "factor_id string, error string, passed boolean, blocking array<string>")
+    got = {r.factor_id: (r.feedback, r.hint, r.requires_user_decision) for r in R.feedback_label(df).collect()}
+    assert got == {
+        "a": ("failed", "REPAIR_ERROR", False), "b": ("pending_gate", "EVALUATE_GATE", False), "c": ("accepted_for_candidate", "NEARBY_VARIANTS", False),
+        "d": ("blocked", "MAP_FIELD", True), "e": ("blocked", "REDUCE_TURNOVER", False),
+    }
