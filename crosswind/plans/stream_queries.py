@@ -65,10 +65,22 @@ def stream_values(spark, d):
     ),
 )
 def stream_ewm(spark, d):
+    return smoothed(spark, d).where("not late").select("trade_date", "instrument", r6("score").alias("score"))
+
+
+@query("w03_stream_ewm_late", panel_sql(f"SELECT {KEY} FROM panel WHERE is_st AND year(trade_date) < 2000"))
+def stream_ewm_late(spark, d):
+    return keyed(smoothed(spark, d).where("late"))
+
+
+def smoothed(spark, d):
+    """Two runs of the stream; the second also brings days that the first has passed."""
     arrive, sink, mark = (scratch_path(spark, n) for n in ("arrive", "sink", "mark"))
-    df = keyed(panel(spark, d), F.when(~F.col("is_st"), F.col("return_1d")).alias("score"))
-    for lo, hi in ((0, 2000), (2000, 9999)):
-        df.where((F.year("trade_date") >= lo) & (F.year("trade_date") < hi)).write.mode("append").parquet(arrive)
+    rows = keyed(panel(spark, d), F.when(~F.col("is_st"), F.col("return_1d")).alias("score"), "is_st")
+    early = F.year("trade_date") < 2000
+    for part in (early, ~early | F.col("is_st")):
+        df = rows.where(part).drop("is_st")
+        df.write.mode("append").parquet(arrive)
         stream = spark.readStream.schema(df.schema).parquet(arrive)
         W.run_to_table(W.stream_ewm(stream, 5), sink, mark).awaitTermination()
-    return spark.read.parquet(sink).select("trade_date", "instrument", r6("score").alias("score"))
+    return spark.read.parquet(sink)

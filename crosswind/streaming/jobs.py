@@ -80,39 +80,43 @@ def stream_factor_values(
     return days.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-EWM_OUTPUT = "trade_date date, instrument string, score double"
-EWM_STATE = "last_date date, mean double, weight double"
+EWM_OUTPUT = "trade_date date, instrument string, score double, late boolean"
+EWM_STATE = "last_date date, mean double, gap int"
 
 
 def ewm_update(span: int):
-    """Per-instrument EWMA over arriving days; rows at or before the last seen day are late and dropped."""
-    alpha = 2.0 / (span + 1.0)
+    """Per-instrument EWMA over arriving days.
+
+    The state is the last day, the last mean and the number of missing values since. A row at or before the last
+    seen day, or a day's second row, cannot enter a mean that is already out: it is passed on as `late` without a score.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, mean, weight = state.get if state.exists else (None, None, 1.0)
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("trade_date", kind="mergesort")
-        out = []
-        for day, raw in zip(rows["trade_date"], rows["score"], strict=True):
-            if last is not None and day <= last:
-                continue
-            last = day
-            if raw is None or raw != raw:
-                weight = weight * (1.0 - alpha) if mean is not None else weight
-                out.append((day, key[0], None))
-                continue
-            old = weight * (1.0 - alpha)
-            mean = raw if mean is None else (old * mean + alpha * raw) / (old + alpha)
-            weight = 1.0
-            out.append((day, key[0], mean))
+        last, mean, gap = state.get if state.exists else (None, None, 0)
+        rows = pd.concat(list(batches), ignore_index=True).sort_values("trade_date", kind="mergesort", ignore_index=True)
+        late = rows["trade_date"].duplicated()
         if last is not None:
-            state.update((last, mean, weight))
-        yield pd.DataFrame(out, columns=["trade_date", "instrument", "score"]).astype({"score": "float64"})
+            late |= rows["trade_date"] <= last
+        raw = rows.loc[~late, "score"].astype("float64")
+        if len(raw):
+            before = [] if mean is None else [mean, *[float("nan")] * gap]
+            means = pd.Series([*before, *raw]).ewm(span=span, adjust=False).mean().iloc[len(before) :].set_axis(raw.index)
+            present = raw.notna().to_numpy()
+            if present.any():
+                mean, gap = float(means.iloc[-1]), int(present[::-1].argmax())
+            elif mean is not None:
+                gap += len(raw)
+            state.update((rows.loc[~late, "trade_date"].iloc[-1], mean, gap))
+            rows["score"] = means.where(raw.notna()).reindex(rows.index)
+        else:
+            rows["score"] = float("nan")
+        yield rows.assign(instrument=key[0], late=late)[["trade_date", "instrument", "score", "late"]].astype({"score": "float64", "late": "bool"})
 
     return step
 
 
 def stream_ewm(scores: DataFrame, span: int) -> DataFrame:
-    """A streaming frame (trade_date, instrument, score) smoothed per instrument.
+    """A streaming frame (trade_date, instrument, score, late) smoothed per instrument.
 
     A micro-batch holds at most its new days per instrument, and the state is three values.
     """
