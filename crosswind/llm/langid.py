@@ -21,6 +21,7 @@ from crosswind.llm.common import chunked, ddl, fold, per_document, texts_of
 DIMS = 4096
 CENTROIDS = 4
 SAMPLE = 600
+SHARES = 16
 REJECT = 0.5
 FULL = 200
 UNKNOWN = "und"
@@ -116,8 +117,11 @@ def train(docs: DataFrame, folds: int = FOLDS) -> Model:
     idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(i, 0) for i in range(DIMS)]))) + 1
     from pyspark.sql import Window
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "size")
-    chosen = rows.select("doc_id", "lang", F.octet_length("text").alias("size")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE)
+    # The smallest of each share of a language first, so that the last step ranks SHARES * SAMPLE rows of it at most, however many tasks read the table.
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("size")]
+    chosen = rows.select("doc_id", "lang", F.octet_length("text").alias("size"), F.pmod(F.hash("doc_id"), F.lit(SHARES)).alias("share"))
+    for by in (["lang", "share"], ["lang"]):
+        chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= SAMPLE).drop("rank")
     ids = [(r["doc_id"], r["lang"], r["size"]) for r in chosen.collect()]  # at most SAMPLE for each language
     samples: dict[str, list[bytes]] = {}
     if ids:
