@@ -4,8 +4,11 @@ Each pass draws random hyperplanes, strings the signs of a vector's projections
 vectors in the lexicographic order of these keys, within equal labels. Similar vectors tend to share long key
 prefixes, so each vector is compared with its WINDOW neighbours in that order. Verified pairs of all passes are united to components.
 
-A pass finds a pair at the threshold with probability about p = agree ** log2(n / WINDOW), agree = 1 - angle / 180 degrees,
-n the largest label. `passes_for` takes as many passes as RECALL needs, so that recall does not sink as tables grow.
+Each label has a depth of `bits`: vectors that share that many first signs of a pass are a cell. A cell of WINDOW vectors at most lies
+inside the window; a larger one is compared whole, in pairs of blocks of WIDE. So a pass finds every pair that shares a cell, and
+a pair at the threshold does so with probability agree ** bits, agree = 1 - angle / 180 degrees, however the vectors lie.
+`passes_for` takes as many passes as RECALL needs at that depth. `planned` measures the cells of every depth over all rows and takes the
+cheapest for each label; depth 0 is one exact comparison of the whole label, which is cheapest up to some ten thousand vectors.
 
 Windows only have to connect a group, not to show all its pairs: an exact check follows that counts all links inside
 each component, blocks of BLOCK vectors against one another. A pair of blocks is skipped or counted as a whole where the
@@ -31,13 +34,18 @@ WINDOW = 64
 BLOCK = 512
 BITS = 48
 RECALL = 0.995
+WIDE = 2048
+#: Depths that a label may take, and the passes that measure their cells.
+DEPTHS = range(0, BITS + 1, 3)
+MEASURED = 2
+#: What moving a vector to another task costs, in comparisons of two vectors.
+MOVE = 4096
 #: Room for rounding where a block pair is decided by angles alone.
 SLACK = 1e-7
 
 
-def passes_for(largest: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
-    agree = 1 - math.acos(threshold) / math.pi
-    p = agree ** max(0.0, math.log2(max(largest, 1) / window))
+def passes_for(bits: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    p = (1 - math.acos(threshold) / math.pi) ** bits
     return 1 if p >= recall else max(2, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 
@@ -54,26 +62,53 @@ def unit(vectors) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _keys(passes: int):
+KEYED = "turn int, label long, dim int, n long, bits int, key long, id long"
+
+
+def _keys(names: list[str]):
+    weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+
     def run(frames):
-        planes: dict[int, np.ndarray] = {}
         for f in frames:
-            parts = []
             for dim, g in f.groupby("dim", sort=False):
-                dim = int(dim)
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng(dim).standard_normal((dim, passes * BITS))
-                signs = (unit(g["embedding"]) @ planes[dim] >= 0).reshape(len(g), passes, BITS)
-                weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
-                keys = signs.astype(np.int64) @ weights
-                for p in range(passes):
-                    parts.append(g.assign(turn=p, key=keys[:, p]))
-            if parts:
-                yield pd.concat(parts)[["turn", "label", "dim", "key", "id", "embedding"]]
+                x, passes = unit(g["embedding"]), g["passes"].to_numpy()
+                for turn in range(int(passes.max())):
+                    on = passes > turn
+                    planes = np.random.default_rng([int(dim), turn]).standard_normal((int(dim), BITS))
+                    yield g[on].assign(turn=turn, key=(x[on] @ planes >= 0).astype(np.int64) @ weights)[names]
 
     return run
 
 
+def _cell(bits: str = "bits"):
+    return F.expr(f"shiftright(key, {BITS} - {bits})")
+
+
+def _whole(size, move: int):
+    """The cost of comparing `size` vectors with one another in blocks of WIDE."""
+    return size * size / 2 + size * F.ceil(size / WIDE) * move
+
+
+def planned(classes: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, move: int = MOVE) -> DataFrame:
+    """(label, dim, n, bits, passes): the depth of every label that costs least. Recall does not hang on it."""
+    sizes = durable(classes.groupBy("label", "dim").agg(F.count("*").alias("n")))
+    ways = F.array(*[F.struct(F.lit(b).alias("bits"), F.lit(passes_for(b, threshold)).alias("passes")) for b in DEPTHS])
+    grid = sizes.where(F.col("n") > window).select("label", "dim", "n", F.explode(ways).alias("way")).select("label", "dim", "n", "way.*")
+    moves = F.col("passes") * F.col("n") * move
+    grid = durable(grid.where((F.col("bits") == 0) | (moves < _whole(F.col("n"), move))))
+    deep = grid.where("bits > 0")
+    tried = classes.join(deep.select("label", "dim").distinct(), ["label", "dim"], "left_semi")
+    names = ["turn", "label", "dim", "key"]
+    keyed = tried.select("label", "dim", "embedding", F.lit(MEASURED).alias("passes")).mapInPandas(_keys(names), "turn int, label long, dim int, key long")
+    keyed = keyed.groupBy(*names).agg(F.count("*").alias("c"))
+    cells = keyed.join(deep.select("label", "dim", "bits"), ["label", "dim"]).groupBy("label", "dim", "bits", "turn", _cell().alias("cell")).agg(F.sum("c").alias("size"))
+    cells = cells.where(F.col("size") > window).groupBy("label", "dim", "bits").agg((F.sum(_whole(F.col("size"), move)) / MEASURED).alias("large"))
+    large = F.when(F.col("bits") == 0, _whole(F.col("n"), move)).otherwise(moves + F.col("passes") * F.coalesce("large", F.lit(0.0)))
+    best = grid.join(cells, ["label", "dim", "bits"], "left").groupBy("label", "dim").agg(F.min(F.struct(large.alias("cost"), "bits", "passes", "n")).alias("w"))
+    small = sizes.where(F.col("n") <= window).select("label", "dim", "n", F.lit(0).alias("bits"), F.lit(1).alias("passes"))
+    return durable(small.union(best.select("label", "dim", "w.n", "w.bits", "w.passes")))
+
+
 def _numbered(frames):
     """The place of each row in its sorted partition."""
     n = 0
@@ -104,24 +139,62 @@ def _stars(threshold: float, window: int):
     return run
 
 
-def window_links(classes: DataFrame, passes: int, threshold: float = THRESHOLD, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """Links (u, v) that the passes' windows prove, as stars. `classes`: id, label, dim, embedding."""
+def _cell_stars(threshold: float):
+    """Compares two blocks of a cell (or one with itself) whole; returns links as `_stars` does."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        x, ids, block = unit(f["embedding"]), f["id"].to_numpy(), f["block"].to_numpy()
+        same = f["a"].iat[0] == f["b"].iat[0]
+        left = np.flatnonzero(block == f["a"].iat[0])
+        right = left if same else np.flatnonzero(block == f["b"].iat[0])
+        near = x[left] @ x[right].T >= threshold
+        if same:
+            np.fill_diagonal(near, False)
+        r, c = near.any(axis=1), near.any(axis=0)
+        near, left, right = near[r][:, c], left[r], right[c]
+        low = ids.copy()
+        while len(left):
+            before = low.copy()
+            low[left] = np.minimum(low[left], np.where(near, low[right][None, :], np.iinfo(np.int64).max).min(axis=1))
+            low[right] = np.minimum(low[right], np.where(near, low[left][:, None], np.iinfo(np.int64).max).min(axis=0))
+            if (before == low).all():
+                break
+        return pd.DataFrame({"u": ids[ids != low], "v": low[ids != low]})
+
+    return run
+
+
+def window_links(classes: DataFrame, plan: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, block: int = BLOCK, wide: int = WIDE) -> DataFrame:
+    """Links (u, v) that the passes prove, as stars. `classes`: id, label, dim, embedding; `plan` as `planned` gives it."""
     spark = classes.sparkSession
-    keyed = classes.select("id", "label", "dim", "embedding").mapInPandas(_keys(passes), "turn int, label long, dim int, key long, id long, embedding array<double>")
+    order = ["turn", "label", "dim", "key", "id"]
+    names = ["turn", "label", "dim", "n", "bits", "key", "id", "embedding"]
+    fields = f"{KEYED}, embedding array<double>"
+    keyed = classes.select("id", "label", "dim", "embedding").join(plan, ["label", "dim"]).mapInPandas(_keys(names), fields)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = keyed.repartitionByRange(parts, "turn", "label", "dim", "key", "id").sortWithinPartitions("turn", "label", "dim", "key", "id")
-    fields = "turn int, label long, dim int, key long, id long, embedding array<double>, place long"
-    placed = durable(ordered.mapInPandas(_numbered, fields).withColumn("part", F.spark_partition_id()))
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = durable(ordered.mapInPandas(_numbered, f"{fields}, place long").withColumn("part", F.spark_partition_id()))
     # one row for each partition: where its first row stands in the whole order
     ends, start, rows = placed.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect(), 0, []
     for r in ends:
         rows.append((r["part"], start))
         start += r["n"]
     first = spark.createDataFrame(rows, "part int, start long")
-    whole = placed.join(first, "part").withColumn("place", F.col("start") + F.col("place")).drop("part", "start", "key")
+    # a label of one large cell is compared whole below
+    sorted_in = placed.where((F.col("bits") > 0) | (F.col("n") <= window))
+    whole = sorted_in.join(first, "part").withColumn("place", F.col("start") + F.col("place")).select("turn", "label", "dim", "id", "embedding", "place")
     at = F.floor(F.col("place") / block)
     halo = F.when(F.col("place") % block < window, F.array(at, at - 1)).otherwise(F.array(at))
-    return whole.withColumn("block", F.explode(halo)).groupBy("block").applyInPandas(_stars(threshold, window), "u long, v long")
+    near = whole.withColumn("block", F.explode(halo)).groupBy("block").applyInPandas(_stars(threshold, window), "u long, v long")
+
+    key = ["turn", "label", "dim", "cell"]
+    celled = placed.withColumn("cell", _cell())
+    large = celled.groupBy(*key).agg(F.count("*").alias("members")).where(F.col("members") > window)
+    blocks = F.ceil(F.col("members") / wide).cast("int")
+    member = celled.join(large, key).select(*key, "id", "embedding", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    member = member.select(*key, "id", "embedding", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+    return near.union(member.groupBy(*key, "a", "b").applyInPandas(_cell_stars(threshold), "u long, v long"))
 
 
 def _block_pairs(threshold: float):
@@ -180,7 +253,7 @@ def link_counts(classes: DataFrame, group: DataFrame, threshold: float = THRESHO
     return small.union(found).groupBy("id").agg(F.sum("n").alias("links"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, move: int = MOVE) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     A vector that is null, zero or not finite, or whose label is null, links with nothing and is its own component. Vectors of
@@ -190,8 +263,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     rows = rows.withColumn("good", valid() & F.col("label").isNotNull())
     classes = rows.where("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
     classes = durable(classes.where("id is not null").withColumn("dim", F.size("embedding")))
-    largest = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    group = components(window_links(classes, passes_for(largest, threshold), threshold)) if largest else None
+    group = None if classes.isEmpty() else components(window_links(classes, planned(classes, threshold, move=move), threshold))
     if group is None:
         linked = classes.select("id", F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("long").alias("links"))
     else:

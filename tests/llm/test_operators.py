@@ -141,6 +141,48 @@ def test_op2_equals_brute_force(spark):
     assert embed_dedup.near_duplicates(empty).count() == 0
 
 
+def cone_with_pairs(n, pairs, mutual=0.8, dim=64):
+    """Vectors of about `mutual` cosine; the first `pairs` twice, at cosine 0.935, linked with nothing else."""
+    r = np.random.default_rng(11)
+    axis = np.zeros(dim)
+    axis[0] = 1.0
+    side = r.standard_normal((n, dim))
+    side[:, 0] = 0
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.sqrt(mutual) * axis + np.sqrt(1 - mutual) * side
+    off = r.standard_normal((pairs, dim))
+    off -= (off * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    x = np.concatenate([x, 0.935 * x[:pairs] + np.sqrt(1 - 0.935**2) * off])
+    links = (x @ x.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    return x, links
+
+
+@pytest.mark.parametrize("move", [embed_dedup.MOVE, 1])
+def test_op2_finds_links_of_a_cone(spark, move):
+    n, pairs = 4000, 400
+    x, links = cone_with_pairs(n, pairs)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), move=move).collect()}
+    u, v = np.nonzero(np.triu(links))
+    found = np.mean([got[a]["component_id"] == got[b]["component_id"] for a, b in zip(u.tolist(), v.tolist(), strict=True)])
+    assert len(got) == n + pairs and found >= (1 if move > 1 else 0.99)
+    if move > 1:  # the label is compared whole
+        assert [got[i]["n_links"] for i in range(len(x))] == links.sum(axis=1).tolist()
+
+
+def test_op2_compares_large_cells_whole(spark):
+    x, links = cone_with_pairs(600, 100)
+    rows = [(i, 0, 64, v.tolist()) for i, v in enumerate(x)]
+    classes = spark.createDataFrame(rows, "id long, label long, dim int, embedding array<double>")
+    plan = spark.createDataFrame([(0, 64, len(x), 3, 1)], "label long, dim int, n long, bits int, passes int")
+    got = dict(map(tuple, components(embed_dedup.window_links(classes, plan, window=4, block=64, wide=50)).collect()))
+    planes = np.random.default_rng([64, 0]).standard_normal((64, embed_dedup.BITS))[:, :3]
+    cell = (x @ planes >= 0) @ [4, 2, 1]
+    for a, b in np.argwhere(np.triu(links) & (cell[:, None] == cell[None, :])).tolist():
+        assert a in got and got[a] == got[b]
+
+
 def base_spans(text):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
