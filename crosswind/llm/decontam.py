@@ -1,13 +1,17 @@
 """Benchmark decontamination: an inverted index of the test items, asked with every passage of the training texts.
 
-Items are indexed by their words with BM25 impacts, divided by the score an item gives itself, so that one threshold serves all
-items. Posting lists are cut into blocks of BLOCK items, each with its greatest impact (block-max). Every text is cut into
-overlapping passages that hold any item of the index whole. For all passages of a chunk at once:
+Items, and the questions of items that have an answer, are entries of the index by their words with BM25 impacts, divided by the score
+an entry gives itself and by the entry's own threshold: THRESHOLD, or less where OVERLAP of the entry's shingles can stand in a passage
+that scores less. So retrieval loses nothing that step 4 would confirm. Posting lists are cut into blocks of BLOCK entries, each with its
+greatest impact (block-max). Every text is cut into overlapping passages that hold any item of the index whole. For all passages of a
+chunk at once:
 
 1. WAND's test on whole lists: a passage whose words' greatest impacts sum to less than the threshold is left out.
 2. The same on blocks: only (passage, block) pairs whose block maxima reach the threshold go on.
-3. Their postings are added up exactly, and every item at or above the threshold is retrieved; the bounds never lose one.
-4. Retrieved items are verified by the share of their question's and their answer's word shingles that the passage holds.
+3. Their postings are added up exactly, and every entry at or above the threshold is retrieved; the bounds never lose one.
+4. Retrieved items are verified by their word shingles. A document holds an item if OVERLAP of the whole item's shingles stand in one
+   passage, or OVERLAP of its question's in one passage and OVERLAP of its answer's anywhere in the document. A question alone counts
+   too, as it gives the item away, if it has SHINGLE words at least; a shorter one needs its answer.
 
 The index is sent to the workers, so it is built for POSTINGS postings at a time at most (documented bound; about 40 MB); a
 larger benchmark takes several passes over the documents. Word statistics are those of all items.
@@ -61,27 +65,49 @@ def share(part: list[str], passage: list[str]) -> float | None:
     return len(own & shingles(passage, size)) / len(own)
 
 
+def least_score(tokens: list[str], impact: dict[str, float]) -> float:
+    """A bound below which no text with OVERLAP of the shingles can score, as a share of the score of all words.
+
+    An absent word takes all its shingles along, and a shingle is lost to `size` words at most; so absent words have at most size
+    times the shingles that may be missing. The greatest impact of such words is bounded by filling up in order of impact a shingle.
+    """
+    size = min(SHINGLE, len(tokens))
+    own = shingles(tokens, size)
+    missing = len(own) - math.ceil(OVERLAP * len(own) - 1e-9)
+    held = Counter(w for x in own for w in set(x))
+    room, lost = float(size * missing), 0.0
+    for w in sorted((w for w in impact if held[w] <= missing), key=lambda w: -impact[w] / held[w]):
+        part = min(1.0, room / held[w])
+        lost, room = lost + part * impact[w], room - part * held[w]
+        if room <= 0:
+            break
+    return 1 - lost / sum(impact.values())
+
+
 class Index:
     """Block-max postings of a bounded set of items."""
 
     def __init__(self, items: list[tuple[int, str]], frequency: dict[str, int], n_items: int, mean_length: float, threshold: float = THRESHOLD):
-        self.threshold = threshold
         self.items = [(i, *question_answer(t), words(t)) for i, t in items]
         self.items = [x for x in self.items if x[3]]
         self.longest = max((len(x[3]) for x in self.items), default=0)
+        #: (item, words) of whole items and of questions that have an answer
+        self.entries = [(n, tokens) for n, (_, question, answer, whole) in enumerate(self.items) for tokens in ([whole, question] if question and answer else [whole])]
         postings: dict[str, list[tuple[int, float]]] = {}
-        for n, (_, _, _, tokens) in enumerate(self.items):
+        self.threshold = np.zeros(len(self.entries))
+        for n, (_, tokens) in enumerate(self.entries):
             impact = {}
             for w, tf in Counter(tokens).items():
                 idf = math.log(1 + (n_items - frequency[w] + 0.5) / (frequency[w] + 0.5))
                 impact[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(tokens) / mean_length))
-            own = sum(impact.values())
+            self.threshold[n] = max(min(threshold, least_score(tokens, impact)), 1e-6)
+            own = sum(impact.values()) * self.threshold[n]
             for w, x in impact.items():
                 postings.setdefault(w, []).append((n, x / own))
         self.term = {w: i for i, w in enumerate(postings)}
         flat = [(t, n // BLOCK, n, x) for t, row in enumerate(postings.values()) for n, x in row]
         t, block, self.item, self.impact = (np.array(c) for c in zip(*flat, strict=True)) if flat else (np.zeros(0, int),) * 4
-        self.blocks = len(self.items) // BLOCK + 1
+        self.blocks = len(self.entries) // BLOCK + 1
         cell = t * self.blocks + block
         start = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1)) if len(cell) else np.zeros(0, int)
         self.cell_start, self.cell_end = start, np.append(start[1:], len(cell)).astype(int)
@@ -92,7 +118,7 @@ class Index:
         self.most = np.maximum.reduceat(self.cell_max, self.first[:-1]) if len(postings) else np.zeros(0)
 
     def retrieve(self, texts: list[list[str]]) -> list[tuple[int, int, int, float]]:
-        """(text, first word of the passage, item, score) of everything at or above the threshold."""
+        """(text, first word of the passage, entry, score) of everything at or above its threshold."""
         if not self.items:
             return []
         stride = self.longest
@@ -109,14 +135,14 @@ class Index:
         t, p = np.concatenate(ids), np.concatenate(place)
         pairs = _distinct(np.concatenate([p * terms + t, (p - 1) * terms + t]))
         p, t = pairs // terms, pairs % terms
-        hopeful = np.bincount(p, self.most[t], base) >= self.threshold - 1e-9
+        hopeful = np.bincount(p, self.most[t], base) >= 1 - 1e-9
         p, t = p[hopeful[p]], t[hopeful[p]]
         if not len(p):
             return []
         names, p = _numbered(p)
         cells, q = _expand(self.first[t], self.first[t + 1], p)
         pair = q * self.blocks + self.cell_block[cells]
-        go = np.bincount(pair, self.cell_max[cells], len(names) * self.blocks) >= self.threshold - 1e-9
+        go = np.bincount(pair, self.cell_max[cells], len(names) * self.blocks) >= 1 - 1e-9
         cells, left = cells[go[pair]], np.flatnonzero(go)
         # the pairs that go on, numbered; each has a place for every item of its block
         q = np.searchsorted(left, pair[go[pair]])
@@ -124,23 +150,32 @@ class Index:
         scores = np.bincount(q * BLOCK + self.item[posting] % BLOCK, self.impact[posting], len(left) * BLOCK)
         spans = np.concatenate(passages)
         out = []
-        for k in np.flatnonzero(scores >= self.threshold):
+        for k in np.flatnonzero(scores >= 1 - 1e-9):
             passage, block = divmod(left[k // BLOCK], self.blocks)
             n, start = spans[names[passage]]
-            out.append((int(n), int(start), int(block * BLOCK + k % BLOCK), float(scores[k])))
+            entry = int(block * BLOCK + k % BLOCK)
+            out.append((int(n), int(start), entry, float(scores[k] * self.threshold[entry])))
         return out
 
     def verified(self, texts: list[list[str]]) -> list[tuple[int, int, float, float, float, float | None]]:
-        """(text, item id, score, overlap, question overlap, answer overlap), the best passage of each text and item."""
-        best: dict[tuple[int, int], tuple] = {}
-        for n, start, item, score in self.retrieve(texts):
-            passage = texts[n][max(start, 0) : start + 2 * self.longest]
-            name, question, answer, tokens = self.items[item]
-            overlap = share(tokens, passage)
-            if overlap >= OVERLAP:
-                row = (overlap, score, share(question, passage), share(answer, passage))
-                best[n, name] = max(best.get((n, name), row), row, key=lambda r: r[:2])
-        return [(n, name, r[1], r[0], r[2], r[3]) for (n, name), r in sorted(best.items())]
+        """(text, item id, score, overlap, question overlap, answer overlap) of each text and item it holds, best values."""
+        found: dict[tuple[int, int], list] = {}
+        for n, start, entry, score in self.retrieve(texts):
+            found.setdefault((n, self.entries[entry][0]), []).append((start, score))
+        out: dict[tuple[int, int], tuple] = {}
+        for (n, item), places in found.items():
+            name, question, answer, whole = self.items[item]
+            passages = [texts[n][max(start, 0) : start + 2 * self.longest] for start in {start for start, _ in places}]
+            overlap = max(share(whole, p) for p in passages)
+            asked = max((share(question, p) for p in passages), default=None) if question else None
+            told = None
+            if overlap >= OVERLAP or (asked or 0) >= OVERLAP:
+                told = share(answer, texts[n])
+            alone = len(question) >= SHINGLE or not answer or (told or 0) >= OVERLAP
+            if overlap >= OVERLAP or ((asked or 0) >= OVERLAP and alone):
+                row = (overlap, max(score for _, score in places), asked, told)
+                out[n, name] = max(out.get((n, name), row), row, key=lambda r: r[:2])
+        return [(n, name, r[1], r[0], r[2], r[3]) for (n, name), r in sorted(out.items())]
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -185,8 +220,10 @@ def _item_words(batches):
 
 def _lengths(batches):
     for batch in batches:
-        sizes = [words(t.decode()) for t in texts_of(batch.column("text"))]
-        yield pa.RecordBatch.from_pydict({"n": [len(s) for s in sizes], "d": [len(set(s)) for s in sizes]}, schema=pa.schema([("n", pa.int64()), ("d", pa.int64())]))
+        texts = [t.decode() for t in texts_of(batch.column("text"))]
+        sizes, parts = [words(t) for t in texts], [question_answer(t) for t in texts]
+        postings = [len(set(s)) + (len(set(q)) if q and a else 0) for s, (q, a) in zip(sizes, parts, strict=True)]
+        yield pa.RecordBatch.from_pydict({"n": [len(s) for s in sizes], "d": postings}, schema=pa.schema([("n", pa.int64()), ("d", pa.int64())]))
 
 
 def indexes(benchmark: DataFrame, threshold: float = THRESHOLD, postings: int = POSTINGS):
@@ -208,8 +245,9 @@ def indexes(benchmark: DataFrame, threshold: float = THRESHOLD, postings: int =
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, postings: int = POSTINGS) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, score, overlap, question_overlap, answer_overlap.
 
-    A document holds an item if at least OVERLAP of the item's word shingles stand in one passage; the question's and the answer's
-    own shares are given beside it (the answer's is null if the item has one sentence). Null and empty texts and items match
+    A document holds an item by the rule of step 4 above: the whole item or its question in one passage, a question of less than SHINGLE
+    words only with its answer. `overlap` and `question_overlap` are the greatest shares in a passage that was retrieved, `answer_overlap`
+    is that of the document (null if the item has one sentence), `score` the greatest of the item's entries. Null and empty texts and items match
     nothing. Repeated rows give one row with the highest values. No benchmark or no documents: an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")

@@ -369,6 +369,36 @@ def test_op10_equals_brute_force(spark, real, edge, nothing):
     assert decontam.contaminated(nothing, bench).count() == 0 and decontam.contaminated(edge, bench.where("item_id = 0")).count() == 0
 
 
+def test_op10_question_alone_and_answer_apart(spark):
+    words = [f"w{i}" for i in range(400)]
+    question, answer, filler = " ".join(words[:12]), " ".join(words[12:20]), " ".join(words[100:300])
+    long_answer, rare = " ".join(words[20:80]), " ".join(words[300:312])
+    bench = [(1, f"{question}? {answer}."), (2, f"{rare}? {long_answer}."), (3, "who won it? nobody at all did so.")]
+    docs = [
+        (1, f"{filler} {question} {filler}"),  # the question alone
+        (2, f"{filler} {question} {filler} {answer} {filler}"),  # both, with text between them
+        (3, f"{filler} {rare} {filler}"),  # a question that is a small part of its item
+        (4, f"{filler} who won it {filler}"),  # too short to count alone
+        (5, f"{filler} who won it {filler} nobody at all did so"),
+        (6, f"{filler} {answer} {filler}"),  # an answer alone
+        (7, " ".join(words[:6]) + f" {filler}"),  # half a question
+    ]
+    documents, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(documents, items).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (5, 3)}
+    assert got[1, 1]["question_overlap"] == 1 and got[1, 1]["answer_overlap"] == 0 and got[2, 1]["answer_overlap"] == 1
+    assert {r["doc_id"] for r in decontam.drop_contaminated(documents, items).collect()} == {4, 6, 7}
+
+
+def test_op10_retrieves_all_that_overlap():
+    # the words that are left are so common that they score less than half
+    common, items = [f"c{i}" for i in range(12)], []
+    items = [(0, " ".join([*common, "rare", "rarer"]))] + [(i, " ".join(common)) for i in range(1, 60)]
+    frequency = Counter(w for _, t in items for w in t.split())
+    index = decontam.Index(items[:1], frequency, len(items), 12.0)
+    assert [r[:2] for r in index.verified([common])] == [(0, 0)]
+
+
 def test_pipeline_stages_take_effect(spark, real):
     import corpus_pipeline
 
