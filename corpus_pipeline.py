@@ -1,8 +1,8 @@
 """A training-data pipeline: five stages over `documents`, each reading what the one before it wrote.
 
 All stages but the last keep the columns of `documents`. Language identification removes documents that are far from every language or
-have no letter; of each group of near-duplicates one document stays; documents that hold a benchmark item go; secrets that belong
-to one owner are masked in the text; the mix takes documents by source weights and adds its columns.
+have no letter; of each group of near-duplicates one document stays; documents that hold a benchmark item go; secrets that are not
+shown to be examples are masked in the text; the mix takes documents by source weights and adds its columns.
 """
 
 from __future__ import annotations

@@ -6,6 +6,10 @@ repositories. A value that more than OWNERS owners hold is an example that peopl
 looks alive (letters and digits mixed, no placeholder word) is a credential of its owner. Candidates of the latter sort become spans of
 kind `owned`; base spans stay whatever their class.
 
+Masking takes every base find but those whose value is shown to be an example: a placeholder as the whole value, or a value that is
+widely copied, by more than OWNERS owners and by more than WIDELY of all owners. Length and looks do not excuse a base find; they only
+choose among the other candidates.
+
 Counting goes by (hash, owner, repository) first, so a value that a third of all rows holds is combined before the shuffle.
 """
 
@@ -26,7 +30,12 @@ KINDS = ("assign", "access", "hex", "owned")
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 MIXED = r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])"
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|0000|1234567|abcdef"
+#: A whole value that stands for a secret: a placeholder word with fillings around it, or one character repeated.
+_STRONG = r"example|sample|dummy|change[-_.]?me|placeholder|your|x{4,}+"
+STAND_IN = rf"(?i)^(?=.{{1,64}}$)(?=.*(?:{_STRONG}))(?:(?:{_STRONG}|my|password|passwd|secret|token|api|access|key|here|value|goes|0++|1234567(?:890?|89)?)[-_.=]*+)+$|^(.)\1*$"
 OWNERS = 2
+#: The share of all owners above which a value counts as widely copied.
+WIDELY = 0.5
 LEAST_LIVE = 16
 MARK = "<secret>"
 
@@ -126,6 +135,15 @@ def scan_documents(docs: DataFrame, owner: str = "source", repository: str = "so
     )
 
 
+def to_mask(rows: DataFrame) -> DataFrame:
+    """One row for each span that masking takes: _row, doc_id, span."""
+    owners = rows.select("owner").distinct().agg(F.count("*").alias("all_owners"))
+    copied = (F.col("owners") > OWNERS) & (F.col("owners") > WIDELY * F.col("all_owners"))
+    example = copied | F.col("span.value").rlike(STAND_IN)
+    spans = classified(rows).crossJoin(owners)  # one row
+    return spans.where(F.when(F.col("is_base"), ~example).otherwise(F.col("owned"))).select("_row", "doc_id", "span")
+
+
 def masked(text: Column, spans: Column) -> Column:
     """The text with MARK in place of each run of overlapping spans (sorted by start)."""
 
@@ -141,10 +159,10 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def mask_owned(docs: DataFrame, owner: str = "source", repository: str = "source") -> DataFrame:
-    """All documents with their columns; owner-specific secrets are masked in the text (and n_chars, if there, is its new length)."""
+    """All documents with their columns; base finds that are no examples and owned candidates are masked (and n_chars, if there, is the new length)."""
     names = docs.columns
     rows = scanned(docs, owner, repository)
-    owned = classified(rows).where("owned").groupBy("_row", F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set("span")).alias("_spans"))
+    owned = to_mask(rows).groupBy("_row", F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set("span")).alias("_spans"))
     owned = durable(owned.withColumnRenamed("_row", "_key"))
     here = docs.withColumn("_row", row_key())
     joined = here.join(owned, (F.col("_row") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")

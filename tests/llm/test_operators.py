@@ -212,6 +212,23 @@ def test_op3_base_equals_python_and_ownership_adds(spark, edge, nothing):
     assert secrets.mask_owned(edge).count() == len(EDGE) and secrets.scan_documents(nothing).count() == 0
 
 
+def test_op3_masks_all_base_finds_but_examples(spark):
+    shared = "2abc3ff2" * 5
+    taken = ["Tr0ub4dor&3", "hunter2hunter", "onlyletters", "918273645546372819", "k9abcdefQ2", "x7your0000z"]
+    examples = ["changeme", "YOUR_API_KEY_HERE", "xxxxxxxx", "placeholder"]
+    docs = [(i, f"password = {v} end", f"s{i}") for i, v in enumerate(taken + examples)]
+    docs += [(100 + i, f"a {shared} b", f"s{i}") for i in range(3)] + [(200 + i, "secret=Everywhere99 b", f"s{i}") for i in range(8)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in secrets.mask_owned(rows).collect()}
+    for i in range(1, len(taken)):
+        assert got[i] == "<secret> end", taken[i]
+    assert got[0].startswith("<secret>") and "Tr0ub4dor" not in got[0]
+    for i in range(len(taken), len(taken) + len(examples)):
+        assert got[i] == docs[i][1]
+    assert all(got[100 + i] == "a <secret> b" for i in range(3))
+    assert all(got[200 + i] == "secret=Everywhere99 b" for i in range(8))
+
+
 def test_op4_learns_and_scores_everything(spark, edge, nothing):
     base = "/root/testdata/sf0.01"
     q = dict(duckdb.sql(f"select doc_id, quality from '{base}/labels.parquet'").fetchall())
