@@ -156,8 +156,7 @@ def sum_of_squares(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
             change[0] -= 1
             change[count[size:capacity] == 0] = np.iinfo(np.int64).max
             left = int(change.argmin())
-        fresh = 2 * int(count[capacity - size]) + 1 if size < capacity else 0
-        if len(change) and change[left] <= fresh:
+        if len(change) and change[left] < np.iinfo(np.int64).max:
             b = bins[left + size].pop()
             count[left + size] -= 1
             out.append((b, capacity - left - size))
