@@ -99,7 +99,7 @@ class CrossSection:
 
     def rank(self, df: DataFrame, x: str, out: str) -> DataFrame:
         if not self.wide:
-            return df.withColumn(out, S.rank(F.col(x), self.keys).col)
+            return df.withColumn(out, S.rank_column(F.col(x), self.keys))
         ranked = self.stats(self.average_rank(df, x, "_r"), _c=F.count(x))
         return ranked.withColumn(out, F.try_divide("_r", "_c")).drop("_r", "_c")
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosswind.functions.signals import KEYS, Keys, Signal, as_signal
+from crosswind.functions.signals import KEYS, Keys, Signal, as_signal, attach
 from crosswind.operators.cross_section import CrossSection
 
 ROW = ["trade_date", "instrument"]
@@ -42,16 +42,16 @@ class Factor:
 
     @classmethod
     def of(cls, factor_id: str, signal: Signal | str, **kw) -> "Factor":
-        """A factor that is one Column expression; its look-back comes with the signal."""
+        """A factor that is one signal; its look-back comes with it."""
         sig = as_signal(signal)
-        return cls(factor_id, lambda df, xs: df.withColumn("score", sig.col), lookback=sig.lookback, stages=sig.stages, **kw)
+        return cls(factor_id, lambda df, xs: attach(df, sig, xs, "score"), lookback=sig.lookback, stages=sig.stages, **kw)
 
 
 def eligible(filters: tuple[str, ...]) -> Column:
     """True where a row passes every universe filter."""
     for f in filters:
         if f.strip().lower() not in UNIVERSE_FILTERS:
-            raise ValueError(f"unsupported universe filter: {f}")
+            raise ValueError(f"no such universe filter: {f}")
     return ~F.coalesce(F.col("is_st"), F.lit(False)) if filters else F.lit(True)
 
 
