@@ -51,7 +51,7 @@ class Run:
 
     def __post_init__(self):
         if not 0.0 < self.top_quantile <= 0.5:
-            raise ValueError("top_quantile must be in (0, 0.5]")
+            raise ValueError("a leg takes more than none and at most half of the names")
 
 
 def schedules_table(spark: SparkSession, schedules: list[Schedule]) -> DataFrame:
@@ -131,36 +131,38 @@ def excluded_tail(cal: DataFrame, schedules: DataFrame) -> DataFrame:
 # --- returns of the grid periods ------------------------------------------------------
 
 
-def period_days(periods: DataFrame) -> DataFrame:
-    """One row per period and calendar day from entry to exit."""
-    return periods.select(
-        *SLOT, "entry_idx", "exit_idx", F.explode(F.sequence("entry_idx", "exit_idx")).alias("idx")
+def forward_marks(panel: DataFrame, cal: DataFrame, lengths: list[int]) -> DataFrame:
+    """(instrument, idx, close) of every quote, and `h<n>`: the last quote (idx, close) at most n calendar days on.
+
+    One exchange and one sort by instrument serve all lengths; each is a frame that only grows, as the quote itself is always in it.
+    """
+    dated = panel.where(F.col("close").isNotNull()).select("trade_date", "instrument", "close").join(cal.select("idx", "trade_date"), "trade_date")
+    ordered = Window.partitionBy("instrument").orderBy("idx")
+    quote = F.struct("idx", "close")
+    return dated.select(
+        "instrument", "idx", "close", *[F.last(quote).over(ordered.rangeBetween(Window.unboundedPreceding, n)).alias(f"h{n}") for n in lengths]
     )
 
 
 def period_returns(panel: DataFrame, cal: DataFrame, periods: DataFrame) -> DataFrame:
     """Per period and name: entry close, return to the last quote in (entry, exit], lost flag.
 
-    Periods are laid out on calendar days, so the as-of lookup is an equi-join followed by
-    one aggregate that is combined before the shuffle.
+    The last quotes are found once for each distinct length of a period, whatever the number of periods; periods then pick their
+    entry day's rows.
     """
-    days = period_days(periods).join(cal.select("idx", "trade_date"), "idx")
-    marks = panel.where(F.col("close").isNotNull()).select("trade_date", "instrument", "close").join(days, "trade_date")
-    after = F.when(F.col("idx") > F.col("entry_idx"), F.col("idx"))
-    cells = marks.groupBy(*SLOT, "instrument").agg(
-        F.max(F.when(F.col("idx") == F.col("entry_idx"), F.col("close"))).alias("entry_close"),
-        F.max_by("close", after).alias("last_close"),
-        F.max(after).alias("last_idx"),
-        F.max("exit_idx").alias("exit_idx"),
-    )
-    held = cells.where(F.col("entry_close").isNotNull())
-    exit_close = F.coalesce(F.when(F.col("last_idx").isNotNull(), F.col("last_close")), F.col("entry_close"))
-    return held.select(
+    slots = periods.select(*SLOT, F.col("entry_idx").alias("idx"), (F.col("exit_idx") - F.col("entry_idx")).alias("_n")).distinct()
+    # As many as the holding periods declared, and one more for each tail that is marked early.
+    lengths = sorted(r["_n"] for r in slots.select("_n").distinct().collect())
+    marks = forward_marks(panel, cal, lengths).join(slots, "idx")
+    own = F.struct("idx", "close")  # the answer of no length, where there are no periods
+    last = F.coalesce(*[F.when(F.col("_n") == n, F.col(f"h{n}")) for n in lengths], own)
+    found = marks.select(*SLOT, "instrument", F.col("close").alias("entry_close"), (F.col("idx") + F.col("_n")).alias("exit_idx"), last.alias("_last"))
+    return found.select(
         *SLOT,
         "instrument",
         "entry_close",
-        (F.try_divide(exit_close, F.col("entry_close")) - 1).alias("period_return"),
-        (F.col("last_idx").isNull() | (F.col("last_idx") != F.col("exit_idx"))).alias("lost"),
+        (F.try_divide(F.col("_last.close"), F.col("entry_close")) - 1).alias("period_return"),
+        (F.col("_last.idx") != F.col("exit_idx")).alias("lost"),
     )
 
 
@@ -198,7 +200,7 @@ class Backtest:
     def matched(self) -> DataFrame:
         """Signals with a tradable return."""
         returns = period_returns(self.panel, self.calendar, schedule(self.calendar, self.schedules))
-        return self.signals.join(returns, [*SLOT, "instrument"]).where(F.col("period_return").isNotNull())
+        return self._kept(self.signals.join(returns, [*SLOT, "instrument"]).where(F.col("period_return").isNotNull()))
 
     @cached_property
     def slots(self) -> DataFrame:
