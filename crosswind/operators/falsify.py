@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,15 +89,56 @@ def block_stability(block_rows: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     )
 
 
+def _standard_ranks(x: np.ndarray) -> np.ndarray | None:
+    """Average-tie ranks less their mean over their spread; none if all are equal."""
+    _, place, count = np.unique(x, return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(count) - (count - 1) / 2.0)[place]
+    spread = ranks.std()
+    return (ranks - ranks.mean()) / spread if spread > 0 else None
+
+
+def _hash_order(prefix: bytes, names: list[bytes]) -> np.ndarray:
+    """The rows, given in order of their names, by the md5 of prefix and name."""
+    digests = np.frombuffer(b"".join([hashlib.md5(prefix + n).digest() for n in names]), ">u8").reshape(-1, 2)
+    return np.lexsort((digests[:, 1], digests[:, 0]))
+
+
+def placebo_day_ics(both: DataFrame, seed: int, permutations: int) -> DataFrame:
+    """Per date: `ic`, the real rank IC, and `perms`, that of each permutation; dates without spread are left out.
+
+    One exchange by date carries all permutations. A date is bounded by the number of instruments (see ``CrossSection.sized``).
+    """
+
+    def day(key, table):
+        names = [n.encode() for n in table.column("instrument").to_pylist()]
+        order = sorted(range(len(names)), key=names.__getitem__)
+        names = [names[i] for i in order]
+        zs, zf = (_standard_ranks(table.column(c).to_numpy()[order]) for c in ("score", "forward_return"))
+        date = key[0].as_py()
+        if zs is None or zf is None:
+            return pa.table({"trade_date": pa.array([], pa.date32()), "ic": pa.array([], pa.float64()), "perms": pa.array([], pa.list_(pa.float64()))})
+        perms = [float(zs @ zf[_hash_order(f"{seed}|{p}|{date}|".encode(), names)]) / len(zs) for p in range(1, permutations + 1)]
+        return pa.table({"trade_date": pa.array([date], pa.date32()), "ic": pa.array([float(zs @ zf) / len(zs)]), "perms": pa.array([perms], pa.list_(pa.float64()))})
+
+    return both.groupBy("trade_date").applyInArrow(day, "trade_date date, ic double, perms array<double>")
+
+
 def placebo_percentile(frame: DataFrame, xs: CrossSection, seed: int, permutations: int = PERMUTATIONS) -> DataFrame:
     """Where the real mean IC falls among within-date permutations of the scores.
 
     A permutation gives each row the score rank held by the row with the same place in a
     hash order. Since every permutation of a date holds the same ranks, its IC only needs
-    the cross product, and the deviations are summed map-side.
+    the cross product. A date that fits one task does all permutations there (``placebo_day_ics``). A wider one is sorted once
+    for each permutation across tasks, so there the rows that move grow with the permutations; the deviations are summed map-side.
     """
-    both = frame.where(F.col("score").isNotNull() & F.col("forward_return").isNotNull())
-    ranked = xs.average_rank(xs.average_rank(both.select("trade_date", "instrument", "score", "forward_return"), "score", "rs"), "forward_return", "rf")
+    both = frame.where(F.col("score").isNotNull() & F.col("forward_return").isNotNull()).select(
+        F.col("trade_date").cast("date").alias("trade_date"), "instrument", F.col("score").cast("double").alias("score"), F.col("forward_return").cast("double").alias("forward_return")
+    )
+    if not xs.wide:
+        days = durable(placebo_day_ics(both, seed, permutations))
+        ic = days.select("trade_date", F.posexplode("perms").alias("perm", "ic"))
+        return _percentile(ic, days)
+    ranked = xs.average_rank(xs.average_rank(both, "score", "rs"), "forward_return", "rf")
     by_day = xs.stats(
         ranked, ("trade_date",), _ms=F.avg("rs"), _mf=F.avg("rf"), _ss=F.stddev_pop("rs"), _sf=F.stddev_pop("rf"), _n=F.count(F.lit(1))
     ).where((F.col("_ss") > 0) & (F.col("_sf") > 0))
@@ -112,8 +157,13 @@ def placebo_percentile(frame: DataFrame, xs: CrossSection, seed: int, permutatio
     by_name = xs.ordinal(base.withColumn("_o", F.lit(0)), "_o", "_place", "_c", ("trade_date",)).select("trade_date", "_place", "zs", "_n")
     by_hash = xs.ordinal(perms, "_h", "_place", "_c", keys).select(*keys, "_place", "zf")
     ic = by_hash.join(by_name, ["trade_date", "_place"]).groupBy(*keys).agg((F.sum(F.col("zs") * F.col("zf")) / F.max("_n")).alias("ic"))
-    means = ic.groupBy("perm").agg(F.avg("ic").alias("mean_ic"))
     real_daily = base.groupBy("trade_date").agg((F.sum(F.col("zs") * F.col("zf")) / F.max("_n")).alias("ic"))
+    return _percentile(ic, real_daily)
+
+
+def _percentile(ic: DataFrame, real_daily: DataFrame) -> DataFrame:
+    """The place of the real mean of daily ICs among those of the permutations (perm, trade_date, ic)."""
+    means = ic.groupBy("perm").agg(F.avg("ic").alias("mean_ic"))
     real = real_daily.agg(F.avg("ic").alias("real"), F.count(F.lit(1)).alias("dates"))
     pooled = means.select("mean_ic", F.lit(None).cast("double").alias("real"), F.lit(None).cast("bigint").alias("dates")).unionByName(
         real.select(F.lit(None).cast("double").alias("mean_ic"), "real", "dates")
