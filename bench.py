@@ -67,11 +67,10 @@ def fitted_composite(spark, panel) -> None:
     df = with_returns(panel)
     cal = durable(B.calendar(panel))
     plan = B.Schedule("fit", 5)
-    directed = M.directed_scores(member_scores(df), MEMBERS, "zscore", xs)
     on_grid = M.directed_scores(M.signal_rows(member_scores(df), cal, plan), MEMBERS, "zscore", xs)
     sweep = durable(M.period_ic_sweep(on_grid, panel, cal, plan, xs))
     weights = M.weights_as_of(M.fitted_weights(sweep, cal, NAMES, plan, "ic_weighted", 3), cal, NAMES)
-    composite = durable(M.combine_fitted(directed, weights, len(NAMES), xs, 2).select("trade_date", "instrument", "score"))
+    composite = durable(M.composite(member_scores(df), MEMBERS, "zscore", xs, weights, 2).select("trade_date", "instrument", "score"))
     run = B.Run("COMPOSITE", "COMPOSITE", "fit", 0.3, 5, 5.0, 5.0, 50.0)
     small = panel.select("trade_date", "instrument", "close")
     test = B.Backtest(

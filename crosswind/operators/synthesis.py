@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -109,7 +110,7 @@ def apriori_weights(members: list[str], weights: dict[str, float] | None = None)
     if set(weights) != set(members):
         raise ValueError("weights must name every member")
     if all(w == 0 for w in weights.values()):
-        raise ValueError("weights must not all be zero")
+        raise ValueError("at least one member needs a weight other than zero")
     return weights
 
 
@@ -202,6 +203,53 @@ def combine_fitted(directed: DataFrame, dated_weights: DataFrame, members: int,
     return mask_degenerate(weighted_sum(masked, F.col("weight"), members, minimum), xs)
 
 
+def composite(
+    scores: DataFrame, directions: dict[str, int], how: str, xs: CrossSection, weights: dict[str, float] | DataFrame, minimum: int | None = None
+) -> DataFrame:
+    """(trade_date, instrument, score, degenerate) of member scores (factor_id, trade_date, instrument, score).
+
+    ``weights`` are fixed ones by member, or dated ones as of ``weights_as_of``. A key is one row with a column for each member. Everything
+    that needs the date together (the pivot, standardisation, the mask) happens after one exchange by date; dates too wide for
+    a task take the long way of ``directed_scores``.
+    """
+    check_members(directions)
+    members, dated = list(directions), isinstance(weights, DataFrame)
+    if xs.wide:
+        directed = directed_scores(scores, directions, how, xs)
+        return combine_fitted(directed, weights, len(members), xs, minimum) if dated else combine_apriori(directed, weights, xs, minimum)
+    need = len(members) if minimum is None else minimum
+    if not 1 <= need <= len(members):
+        raise ValueError("minimum coverage must lie between 1 and the number of members")
+    if not set(directions.values()) <= {1, -1}:
+        raise ValueError("directions must be +1 or -1")
+    pick = lambda column, m: F.max(F.when(F.col("factor_id") == m, F.col(column)))
+    one = finite_scores(scores).repartition("trade_date").groupBy(*ROW).agg(*[pick("score", m).alias(f"_s{i}") for i, m in enumerate(members)])
+    day = Window.partitionBy("trade_date")
+
+    def standard(i: int, sign: int) -> Column:
+        s = F.col(f"_s{i}")
+        flat = F.min(s).over(day) == F.max(s).over(day)
+        if how == "zscore":
+            z = F.try_divide(s - F.avg(s).over(day), F.stddev_samp(s).over(day))
+        elif how == "rank":
+            place = F.row_number().over(day.orderBy(s.asc_nulls_last(), "instrument"))
+            z = 2.0 * (place / F.count(s).over(day)) - 1.0
+        else:
+            raise ValueError("standardization must be zscore or rank")
+        return F.when(s.isNotNull(), F.lit(float(sign)) * F.when(flat, F.lit(0.0)).otherwise(z))
+
+    one = one.select(*ROW, *[standard(i, sign).alias(f"_t{i}") for i, sign in enumerate(directions.values())])
+    if dated:
+        cells = weights.groupBy("trade_date").agg(*[pick("weight", m).alias(f"_w{i}") for i, m in enumerate(members)])
+        one = one.join(cells, "trade_date", "left")
+        parts = [F.col(f"_w{i}") * F.col(f"_t{i}") for i in range(len(members))]
+    else:
+        parts = [F.lit(float(weights[m])) * F.col(f"_t{i}") for i, m in enumerate(members)]
+    held = reduce(lambda a, b: a + b, [p.isNotNull().cast("int") for p in parts])
+    total = reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0.0)) for p in parts])
+    return mask_degenerate(one.select(*ROW, F.when(held >= need, total).alias("score")), xs)
+
+
 def fitted_summary(weights: DataFrame) -> DataFrame:
     """Counts of fitted, warm-up and fallback slots, the fitted share, and the last fitted slot."""
     slots = weights.select("signal_idx", "flag").distinct()

@@ -65,6 +65,11 @@ def directed(spark, d, how="rank", df=None):
     return M.directed_scores(member_scores(df), MEMBERS, how, cross(spark, d))
 
 
+def combined_apriori(spark, d, weights, minimum=None, df=None):
+    df = panel(spark, d) if df is None else df
+    return M.composite(member_scores(df), MEMBERS, "zscore", cross(spark, d), weights, minimum)
+
+
 register(
     "m01_build_matrix",
     lambda spark, d: M.score_matrix(member_scores(panel(spark, d)).where("not (factor_id = 'MOM' and score is null)"), NAMES),
@@ -82,8 +87,8 @@ register(
 )
 register(
     "m04_apply_directions",
-    lambda spark, d: directed(spark, d).where("factor_id = 'VOL'").select("trade_date", "instrument", r6("t").alias("t")),
-    panel_sql("SELECT trade_date, instrument, ROUND(t, 6) AS t FROM dir WHERE factor_id = 'VOL'", SCORES_SQL, standard_sql("rank")),
+    lambda spark, d: directed(spark, d).select("factor_id", "trade_date", "instrument", r6("t").alias("t")),
+    panel_sql("SELECT factor_id, trade_date, instrument, ROUND(t, 6) AS t FROM dir", SCORES_SQL, standard_sql("rank")),
 )
 register(
     "m05_coverage_rule",
@@ -104,13 +109,13 @@ register(
 )
 register(
     "m06_combine_equal",
-    lambda spark, d: M.combine_apriori(directed(spark, d, "zscore"), M.apriori_weights(NAMES), cross(spark, d)).select("trade_date", "instrument", r6("score").alias("score")),
+    lambda spark, d: combined_apriori(spark, d, M.apriori_weights(NAMES)).select("trade_date", "instrument", r6("score").alias("score")),
     panel_sql(f"SELECT {KEY}, ROUND(score, 6) AS score FROM comp", SCORES_SQL, standard_sql("zscore"), composite_sql("(1.0 / CAST(3 AS DOUBLE))", 3)),
 )
 WEIGHT_SQL = "CASE factor_id WHEN 'MOM' THEN CAST(0.5 AS DOUBLE) WHEN 'VOL' THEN CAST(0.3 AS DOUBLE) ELSE CAST(-0.2 AS DOUBLE) END"
 register(
     "m07_combine_weighted",
-    lambda spark, d: M.combine_apriori(directed(spark, d, "zscore"), M.apriori_weights(NAMES, WEIGHTS), cross(spark, d), 2).select("trade_date", "instrument", r6("score").alias("score")),
+    lambda spark, d: combined_apriori(spark, d, M.apriori_weights(NAMES, WEIGHTS), 2).select("trade_date", "instrument", r6("score").alias("score")),
     panel_sql(f"SELECT {KEY}, ROUND(score, 6) AS score FROM comp", SCORES_SQL, standard_sql("zscore"), composite_sql(WEIGHT_SQL, 2)),
 )
 
@@ -197,8 +202,8 @@ def as_of(spark, d):
     panel_sql(f"SELECT {KEY}, ROUND(score, 6) AS score FROM comp", *RANKED, fitted_sql("ic_weighted"), composite_sql("weight", 2, source="fdir")),
 )
 def combined(spark, d):
-    w, cal, dirs = fitted(spark, d)
-    out = M.combine_fitted(dirs, M.weights_as_of(w, cal, NAMES), 3, cross(spark, d), 2)
+    w, cal, _ = fitted(spark, d)
+    out = M.composite(member_scores(panel(spark, d)), MEMBERS, "rank", cross(spark, d), M.weights_as_of(w, cal, NAMES), 2)
     return out.select("trade_date", "instrument", r6("score").alias("score"))
 
 
@@ -270,7 +275,7 @@ def composite_run(spark, d):
     """Equal z-score composite, stored and read back, traded on the ten-row schedule."""
     df = durable(panel(spark, d).select("trade_date", "instrument", "close", "volume", "return_5d", "market_cap", "is_st"))
     xs = cross(spark, d)
-    comp = M.combine_apriori(directed(spark, d, "zscore", df), M.apriori_weights(NAMES), xs)
+    comp = combined_apriori(spark, d, M.apriori_weights(NAMES), df=df)
     cid = M.composite_id(list(MEMBERS.items()), "equal", "zscore", 10)
     stored = M.materialize(spark, comp, cid, scratch_path(spark, "composite"))
     plan = B.Schedule("ten", 10)
