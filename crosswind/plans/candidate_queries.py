@@ -255,13 +255,17 @@ fp AS (
   SELECT *, upper(substr(sha1('formula|' || lower(regexp_replace(formula, '\\s+', '', 'g')) || '|' || CAST(horizon AS VARCHAR) || '|' || lower(regexp_replace(filters, '\\s+', '', 'g'))), 1, 16)) AS fingerprint,
          upper(substr(sha1('shape|' || array_to_string(list_sort(list_distinct(regexp_extract_all(lower(formula), '([a-z_][a-z_0-9]*)', 1))), ',') || '|' || CAST(horizon AS VARCHAR) || '|' || lower(regexp_replace(filters, '\\s+', '', 'g'))), 1, 16)) AS shape
   FROM cand),
-dup AS (SELECT *, seq <> MIN(seq) OVER (PARTITION BY fingerprint) OR fingerprint IN (SELECT fingerprint FROM fp WHERE size = 7) AS duplicate_formula FROM fp),
-divc AS (SELECT *, NOT duplicate_formula AND SUM(CASE WHEN duplicate_formula THEN 0 ELSE 1 END) OVER (PARTITION BY run_id, shape ORDER BY seq) > 2 AS over_diversity_cap FROM dup)"""
+firsts AS (SELECT run_id, shape, fingerprint, MIN(seq) AS first FROM fp WHERE fingerprint NOT IN (SELECT fingerprint FROM fp WHERE size = 7) GROUP BY 1, 2, 3),
+taken AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id, shape ORDER BY first) AS place FROM firsts) WHERE place <= 2),
+dup AS (
+  SELECT fp.*, fingerprint IN (SELECT fingerprint FROM fp WHERE size = 7) OR COALESCE(seq <> first, FALSE) AS duplicate_formula, first IS NOT NULL AS got
+  FROM fp LEFT JOIN taken USING (run_id, shape, fingerprint)),
+divc AS (SELECT *, NOT duplicate_formula AND NOT got AS over_diversity_cap FROM dup)"""
 
 
 def deduped(spark, d):
     c = R.with_fingerprints(candidates(spark, d))
-    return R.dedupe_formula(c, c.where("size = 7"))
+    return R.label_candidates(c, c.where("size = 7"))
 
 
 register(
@@ -271,9 +275,18 @@ register(
 )
 register(
     "r12_diversity_cap",
-    lambda spark, d: R.diversity_cap(deduped(spark, d)).select("factor_id", "shape", "over_diversity_cap"),
+    lambda spark, d: deduped(spark, d).select("factor_id", "shape", "over_diversity_cap"),
     with_sql("SELECT factor_id, shape, over_diversity_cap FROM divc", CAND_SQL, FP_SQL),
 )
+register(
+    "r12_skip_counts",
+    lambda spark, d: R.skip_counts(deduped(spark, d)),
+    with_sql(
+        "SELECT run_id, COUNT(*) FILTER (WHERE duplicate_formula) AS formula_skipped, COUNT(*) FILTER (WHERE over_diversity_cap) AS diversity_skipped, "
+        "COUNT(*) FILTER (WHERE NOT duplicate_formula AND NOT over_diversity_cap) AS accepted FROM divc GROUP BY 1",
+        CAND_SQL, FP_SQL,
+    ),
+)
 SIG_SQL = (
     "sg1 AS (SELECT *, upper(substr(sha1('result|' || "
     + " || '|' || ".join(f"COALESCE(printf('%.6f', CAST({m} AS DOUBLE)), 'missing')" for m in R.SIGNATURE_METRICS)
@@ -331,7 +344,7 @@ res AS (SELECT divc.*, gt.passed AND score IS NOT NULL AS passed, gt.blocking, o
 
 
 def results(spark, d):
-    full = R.diversity_cap(R.dedupe_formula(R.with_fingerprints(candidates(spark, d)), R.with_fingerprints(candidates(spark, d)).where("size = 7")))
+    full = deduped(spark, d)
     judged = gated(spark, d).select("factor_id", "passed", "blocking")
     df = full.join(judged, "factor_id").join(R.oos_decay_value(segments(spark, d)), "factor_id", "left")
     failed = (F.col("size") % 11 == 0) | F.col("score").isNull()
