@@ -420,6 +420,24 @@ def ancestors(edges: DataFrame, max_rounds: int = 32) -> DataFrame:
     raise RuntimeError(f"lineage is deeper than 2^{max_rounds}")
 
 
+def ancestors_of(edges: DataFrame, requested: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(artifact, ancestor, depth) pairs of the requested artifact_ids alone, shortest depth; `edges` as for ``ancestors``.
+
+    Semi-naive: a round joins only the pairs that the one before found with the edges, and keeps those not known yet, so the work
+    grows with the answer and cycles end. Rounds are as many as the longest shortest way up.
+    """
+    up = durable(edges.select(F.col("artifact_id").alias("_at"), F.col("parent").alias("_up")).where("_at is not null and _up is not null").distinct())
+    new = durable(requested.select("artifact_id").distinct().join(up, F.col("artifact_id") == F.col("_at")).select("artifact_id", F.col("_up").alias("ancestor"), F.lit(1).alias("depth")))
+    known = new
+    for depth in range(2, max_rounds + 1):
+        if new.isEmpty():
+            return known
+        further = new.join(up, F.col("ancestor") == F.col("_at")).select("artifact_id", F.col("_up").alias("ancestor")).distinct()
+        new = durable(further.join(known, ["artifact_id", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+        known = known.union(new)
+    raise RuntimeError(f"lineage is deeper than {max_rounds}")
+
+
 def search_runs(runs: DataFrame, factor: Column, kind: str | None, limit: int) -> DataFrame:
     """Newest matching runs and the total; ``runs`` is long (seq, run_id, kind, factor_id)."""
     hits = runs.where(factor if kind is None else factor & (F.col("kind") == kind)).select("seq", "run_id", "kind").distinct()
@@ -478,7 +496,7 @@ def goal_completion(criteria: DataFrame, audits: DataFrame) -> DataFrame:
         F.count_if(F.coalesce(needs & has, F.lit(False))).alias("evidence_backed"),
     )
     vacuous = (F.size("failures") == 0) & (F.col("evidence_backed") == 0)
-    failures = F.when(vacuous, F.array(F.lit("no required criterion is backed by existing evidence"))).otherwise(F.col("failures"))
+    failures = F.when(vacuous, F.array(F.lit("nothing on file supports a required criterion"))).otherwise(F.col("failures"))
     return agg.withColumn("failures", failures).withColumn("can_complete", F.size("failures") == 0)
 
 

@@ -338,6 +338,19 @@ def ancestors(spark, d):
     return L.ancestors(table(spark, d, "orders").where(k >= 3).select(k.alias("artifact_id"), F.floor(k / 3).alias("parent")))
 
 
+@query(
+    "l15_ancestors_of_requested",
+    "WITH RECURSIVE e AS (SELECT o_orderkey AS c, o_orderkey // 3 AS p FROM orders WHERE o_orderkey >= 3), "
+    "up AS (SELECT c, p, 1 AS depth FROM e JOIN orders ON o_orderkey = c WHERE o_orderstatus = 'P' UNION ALL SELECT up.c, e.p, depth + 1 FROM up JOIN e ON e.c = up.p) "
+    "SELECT c AS artifact_id, p AS ancestor, MIN(depth) AS depth FROM up GROUP BY 1, 2",
+)
+def ancestors_of_requested(spark, d):
+    """Everything above the orders in process."""
+    k, orders = F.col("o_orderkey"), table(spark, d, "orders")
+    edges_ = orders.where(k >= 3).select(k.alias("artifact_id"), F.floor(k / 3).alias("parent"))
+    return L.ancestors_of(edges_, orders.where("o_orderstatus = 'P'").select(k.alias("artifact_id")))
+
+
 def run_index(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("F"), F.col("l_partkey").cast("string")).alias("factor_id"))
     heads = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("kind"))
@@ -404,7 +417,7 @@ cr AS (SELECT c.goal_id, c.criterion_id, CASE WHEN result IS NULL THEN c.criteri
 @query(
     "l19_goal_completion",
     with_sql(
-        "SELECT goal_id, eb AS evidence_backed, CASE WHEN f = '' AND eb = 0 THEN 'no required criterion is backed by existing evidence' ELSE f END AS failures, f = '' AND eb > 0 AS can_complete FROM "
+        "SELECT goal_id, eb AS evidence_backed, CASE WHEN f = '' AND eb = 0 THEN 'nothing on file supports a required criterion' ELSE f END AS failures, f = '' AND eb > 0 AS can_complete FROM "
         "(SELECT goal_id, COUNT(*) FILTER (WHERE backed) AS eb, COALESCE(string_agg(failure, '; ' ORDER BY failure), '') AS f FROM cr GROUP BY 1)",
         GOAL_SQL,
     ),
