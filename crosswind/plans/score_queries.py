@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from crosswind.functions import signals as S
 from crosswind.functions import text as T
 from crosswind.operators import scores as C
+from crosswind.operators.cross_section import CrossSection
 from crosswind.plans.common import cross, keyed, panel
 from crosswind.plans.panel_queries import KEY, RANK, with_sql
 from crosswind.plans.registry import panel_sql, query, r6, register
@@ -374,6 +375,25 @@ def scores_end_to_end(spark, d):
     return out.withColumn("score", r6("score"))
 
 
+NESTED_SQL = panel_sql(
+    f"SELECT {KEY}, ROUND(CASE WHEN NOT is_st AND v IS NOT NULL THEN LEAST(GREATEST(CEIL(v * 5), 1), 5) - z END, 6) AS score FROM n3",
+    f"n1 AS (SELECT *, {RANK.format(x='return_5d')} AS r FROM panel)",
+    "n2 AS (SELECT *, r - LAG(r, 3) OVER (PARTITION BY instrument ORDER BY trade_date) AS d, "
+    "(volume - AVG(volume) OVER w) / NULLIF(CASE WHEN MIN(volume) OVER w < MAX(volume) OVER w THEN STDDEV_SAMP(volume) OVER w END, 0) AS z FROM n1 WINDOW w AS (PARTITION BY trade_date))",
+    f"n3 AS (SELECT *, {RANK.format(x='d')} AS v FROM n2)",
+)
+
+
+def nested(spark, d, xs):
+    """Fifths of the change of a rank, less a standardised volume: cross-sections above a series above a cross-section."""
+    ranked = S.rank(S.field("return_5d"))
+    factor = C.Factor.of("NEST", S.ntile(S.delta(ranked, 3), 5) - S.zscore(S.field("volume")), filters=("is_st == false",))
+    return C.factor_scores(panel(spark, d), factor, xs).withColumn("score", r6("score"))
+
+
+register("p01_nested_ranks", lambda spark, d: nested(spark, d, cross(spark, d)), NESTED_SQL)
+register("p01_nested_ranks_wide", lambda spark, d: nested(spark, d, CrossSection(wide=True)), NESTED_SQL)
+
 register(
     "p02_restrict_to_keys",
     lambda spark, d: C.restrict_to_keys(keyed(panel(spark, d), "close"), panel(spark, d).where("is_st")),
@@ -591,10 +611,11 @@ def has_values(spark, d):
 
 @query("s20_remove_stored_values", panel_sql(f"SELECT {KEY}, volume AS factor_value, 'FTR-VOL' AS factor_id FROM panel"))
 def remove_values(spark, d):
-    values = V.read_values(spark, build_store(spark, d))
+    path = build_store(spark, d)
     owners = spark.createDataFrame([("FTR-MOM", "FTR-MOM"), ("FTR-VOL", "OTHER")], "factor_id string, owner_id string")
-    left = V.remove_factor(V.remove_factor(values, "FTR-MOM", owners), "FTR-VOL", owners)
-    return left.select("trade_date", "instrument", "factor_value", "factor_id")
+    V.remove_factor(spark, path, "FTR-MOM", owners)
+    V.remove_factor(spark, path, "FTR-VOL", owners)
+    return V.read_values(spark, path).select("trade_date", "instrument", "factor_value", "factor_id")
 
 
 COMPACT_SQL = """

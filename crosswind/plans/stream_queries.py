@@ -24,34 +24,35 @@ def stream_ingest(spark, d):
 
 @query(
     "w01_stream_rejected",
-    with_sql("SELECT DISTINCT outcome_id, 'ORIGIN_MISMATCH' AS reason FROM oc WHERE origin IS DISTINCT FROM 'local'", OUTCOME_SQL),
+    with_sql("SELECT seq, outcome_id, 'ORIGIN_MISMATCH' AS reason FROM oc WHERE origin IS DISTINCT FROM 'local'", OUTCOME_SQL),
 )
 def stream_rejected(spark, d):
-    return ingested(spark, d)[1].select("outcome_id", "reason").distinct()
+    return ingested(spark, d)[1].select("seq", "outcome_id", "reason")
 
 
 def ingested(spark, d):
-    """The ledger and the rejected rows after two runs; the second replays everything and must add nothing to the ledger."""
-    ledger, rejected = scratch_path(spark, "ledger"), scratch_path(spark, "rejected")
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    """The ledger and the rejected rows after two runs of several micro-batches each; the second has a new checkpoint and replays everything."""
+    arrive, ledger, rejected = (scratch_path(spark, n) for n in ("events", "ledger", "rejected"))
+    events = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.repartition(3).write.parquet(arrive)
     for _ in range(2):
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arrive)
         W.stream_outcome_ingest(outcomes(stream), ledger, scratch_path(spark, "mark"), rejected).awaitTermination()
-    return spark.read.parquet(ledger), spark.read.parquet(rejected)
+    schema = outcomes(events).schema
+    return W.bucketed(spark, ledger, schema).read(), W.rejected_table(spark, rejected, schema).read()
 
 
 @query("w02_stream_factor_values", panel_sql(f"SELECT {KEY}, return_5d AS score FROM panel"))
 def stream_values(spark, d):
-    arrive, store = scratch_path(spark, "arrive"), scratch_path(spark, "store")
+    """Old years, then a late and a current stretch; the last run brings the right rows for days that came wrong in the first."""
+    arrive, store, mark, whole = (scratch_path(spark, n) for n in ("arrive", "store", "mark", "panel"))
     df = keyed(panel(spark, d), "close", "is_st")
-    for lo, hi in ((0, 1999), (1999, 2001), (2001, 9999)):
-        part = df.where((F.year("trade_date") >= lo) & (F.year("trade_date") < hi))
+    year = F.year("trade_date")
+    wrong = F.col("is_st") & (F.month("trade_date") > 10)
+    first = df.where(year < 1999).withColumn("close", F.when(wrong, F.col("close") * 3).otherwise(F.col("close")))
+    for part in (first, df.where(year.between(1999, 2000)), df.where((year > 2000) | ((year < 1999) & wrong))):
         part.write.mode("append").parquet(arrive)
-        schema = df.schema
-        stream = spark.readStream.schema(schema).parquet(arrive)
-        if lo == 0:
-            mark, whole = scratch_path(spark, "mark"), scratch_path(spark, "panel")
+        stream = spark.readStream.schema(df.schema).parquet(arrive)
         W.stream_factor_values(stream, whole, store, mark, momentum(), SIGNATURE, lambda _: cross(spark, d)).awaitTermination()
     return V.factor_values(V.read_values(spark, store), ["FTR-MOM"], SIGNATURE)
 

@@ -298,32 +298,3 @@ def data_status(df: DataFrame) -> DataFrame:
         F.lit("field").alias("section"), F.col("field").alias("item"), F.col("availability").alias("status")
     )
     return rows.unionByName(schema).unionByName(quality).unionByName(fields)
-
-
-def demo_panel(spark: SparkSession, instruments: int = 12, dates: int = 160, start: str = "2024-01-02") -> DataFrame:
-    """Deterministic closed-form panel on business days, for trying things out."""
-    day = F.col("d")
-    # The first day is a Tuesday; skip weekends by whole weeks from its Monday.
-    monday = F.date_sub(F.lit(start).cast("date"), 1)
-    slot = day + 1
-    date = F.date_add(monday, (F.floor(slot / 5) * 7 + F.pmod(slot, F.lit(5))).cast("int"))
-    cells = spark.range(instruments * dates)
-    base = cells.select(F.floor(F.col("id") / dates).alias("i"), F.pmod("id", F.lit(dates)).alias("d"))
-    i = F.col("i")
-    close = 20.0 + i * 1.7 + day * (0.01 + i * 0.001) + F.sin(day / 7.0 + i) * 0.8
-    volume = 100000.0 + i * 2500.0 + F.cos(day / 5.0 + i) * 8000.0
-    return with_returns(
-        base.select(
-            date.alias("trade_date"),
-            F.concat(F.lit("D"), F.lpad(i.cast("string"), 6, "0")).alias("instrument"),
-            close.alias("close"),
-            (close * 0.995).alias("open"),
-            (close * 1.01).alias("high"),
-            (close * 0.99).alias("low"),
-            (close * (1.0e6 + i * 5.0e4)).alias("market_cap"),
-            ((i >= instruments - 2) & (day >= 10)).alias("is_st"),
-            F.concat(F.lit("sector_"), F.pmod(i, F.lit(4)).cast("string")).alias("industry"),
-            volume.alias("volume"),
-            (close * volume).alias("amount"),
-        )
-    )

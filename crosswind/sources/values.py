@@ -1,4 +1,4 @@
-"""Stored factor values: one parquet table partitioned by factor_id and year.
+"""Stored factor values: one table of snapshots, partitioned by factor_id and year.
 
 Columns: trade_date, instrument, factor_value, formula_signature, layer (root or
 incremental), seq (write order), factor_id, year.
@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 from crosswind.operators.scores import dedupe_last
 from crosswind.session import durable
 from crosswind.sources.panel import parse_date
+from crosswind.sources.snapshots import SnapshotTable
 
 KEY = ["trade_date", "instrument"]
+SCHEMA = (
+    "trade_date date, instrument string, factor_value double, formula_signature string, layer string, "
+    "seq bigint, factor_id string, year int"
+)
 COLUMNS = [*KEY, "factor_value", "formula_signature", "layer", "seq", "factor_id", "year"]
 
 # Accepted column names, first match wins.
@@ -49,23 +54,17 @@ def to_rows(scores: DataFrame, factor_id: str, signature: str | None, layer: str
     )
 
 
-def write_values(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Write by factor and year; rebalancing splits a partition that holds most rows."""
-    (
-        rows.hint("rebalance", "factor_id", "year")
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("factor_id", "year")
-        .parquet(path)
-    )
+def store(spark: SparkSession, path: str) -> SnapshotTable:
+    return SnapshotTable(spark, path, ("factor_id", "year"), SCHEMA)
+
+
+def write_values(rows: DataFrame, path: str) -> None:
+    """Add rows by factor and year; rebalancing splits a partition that holds most rows."""
+    store(rows.sparkSession, path).append(rows)
 
 
 def read_values(spark: SparkSession, path: str) -> DataFrame:
-    schema = (
-        "trade_date date, instrument string, factor_value double, formula_signature string, layer string, "
-        "seq bigint, factor_id string, year int"
-    )
-    return spark.read.schema(schema).parquet(path)
+    return store(spark, path).read()
 
 
 def normalise_columns(df: DataFrame) -> DataFrame:
@@ -107,31 +106,39 @@ def merge_updates(existing: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def upsert(spark: SparkSession, path: str, updates: DataFrame) -> None:
-    """Merge updates into the table, rewriting only the factor/year partitions they touch."""
-    touched = durable(updates.select("factor_id", "year").distinct())
-    # The years of a calendar are few; as literals they prune the folders that the scan lists.
-    years = [r["year"] for r in touched.select("year").distinct().collect()]
-    affected = read_values(spark, path).where(F.col("year").isin(years)).join(touched, ["factor_id", "year"], "left_semi")
-    # The merge is written out before its own input partitions are replaced.
-    write_values(durable(merge_updates(affected, updates)), path, "overwrite")
+    """Merge updates into the table, rewriting only the factor/year partitions they touch, in one switch."""
+    table, updates = store(spark, path), durable(updates)
+    old = table.snapshot()
+    # As many as the folders that are written.
+    touched = {(r["factor_id"], str(r["year"])) for r in updates.select("factor_id", "year").distinct().collect()}
+    table.replace(merge_updates(table.read(lambda k: k in touched, old), updates), old=old)
 
 
 def has_values(spark: SparkSession, path: str, factor_id: str) -> bool:
-    return not read_values(spark, path).where(F.col("factor_id") == factor_id).isEmpty()
+    return any(key[0] == factor_id for key in store(spark, path).keys())
 
 
 def stored_factors(values: DataFrame) -> DataFrame:
     return values.groupBy("factor_id").agg(F.count(F.lit(1)).alias("stored_rows"))
 
 
-def remove_factor(values: DataFrame, factor_id: str, owners: DataFrame) -> DataFrame:
-    """Table without one factor's rows, except rows that another owner also claims.
+def remove_factor(spark: SparkSession, path: str, factor_id: str, owners: DataFrame) -> int:
+    """Remove the stored values of one factor, files included, under every spelling of its id; returns the partitions removed.
 
-    ``owners`` lists (factor_id, owner_id): which registered ids rely on which stored factor.
+    ``owners`` lists (factor_id, owner_id): which registered ids rely on which stored factor. A spelling that another
+    owner relies on, or that another registered id shares, stays.
     """
-    shared = owners.where((F.col("factor_id") == factor_id) & (F.col("owner_id") != factor_id)).select("factor_id").distinct()
-    doomed = values.sparkSession.createDataFrame([(factor_id,)], "factor_id string").join(shared, "factor_id", "left_anti")
-    return values.join(doomed, "factor_id", "left_anti")
+    spelt = lambda x: x.strip().lower().replace("-", "_")  # noqa: E731  as canonical_id
+    own = spelt(factor_id)
+    table = store(spark, path)
+    names = {key[0] for key in table.keys() if key[0] is not None and spelt(key[0]) == own}
+    if not own or not names:
+        return 0
+    other = owners.where(F.col("owner_id") != factor_id)
+    if not other.where(canonical_id("owner_id") == own).isEmpty():
+        return 0
+    relied = {r["factor_id"] for r in other.where(F.col("factor_id").isin(*names)).select("factor_id").distinct().collect()}
+    return table.drop([key for key in table.keys() if key[0] in names - relied])
 
 
 def discover_precomputed(listing: DataFrame) -> tuple[DataFrame, DataFrame]:
