@@ -44,9 +44,9 @@ def unique_horizons(primary: int, requested: tuple[int, ...] = DEFAULT_HORIZONS)
 
 def check_splits(splits: tuple[Split, ...]) -> tuple[Split, ...]:
     if not splits:
-        raise ValueError("at least one sample split is required")
+        raise ValueError("no sample split is declared")
     if len({s.name for s in splits}) != len(splits):
-        raise ValueError("sample split names must be unique")
+        raise ValueError("two sample splits share a name")
     if sum(s.fraction for s in splits) <= 0 or sum(s.weight for s in splits) <= 0:
         raise ValueError("sample split fractions and weights must sum to a positive value")
     return splits
