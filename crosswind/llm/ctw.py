@@ -23,6 +23,7 @@ context bytes, so no group is larger than the distinct grams below one context,
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,10 @@ from crosswind.session import durable
 
 DEPTH = 5
 END = 0xFF
-BLOCK_BYTES = 24 << 20
+#: Text that a task holds at a time; its distinct keys, their counts and one merge of them take about 25 times as much.
+BLOCK_BYTES = 16 << 20
+#: Rows of a record batch of keys.
+SLICE = 1 << 16
 FOLDS, HELD_OUT = 5, 1
 TOP = 2  # contexts shorter than this are the shared top of the tree
 
@@ -80,8 +84,9 @@ def count_grams(texts: list[bytes], trains: np.ndarray) -> tuple[np.ndarray, np.
                 at = _runs(g)
                 n = np.diff(np.append(at, len(g))) if seen else np.zeros(len(at), np.int64)
                 parts.append((g[at], n))
-        if len(parts) > 8:
-            parts = [_merged(parts)]
+        # like sizes merge as they come, so that each key is merged a logarithm of times and few parts wait
+        while len(parts) > 1 and len(parts[-2][0]) <= 2 * len(parts[-1][0]):
+            parts[-2:] = [_merged(parts[-2:])]
     return _merged(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
@@ -96,17 +101,22 @@ def word_keys(words: list[bytes]) -> np.ndarray:
 COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
 
-def _sums(texts: list[bytes], trains: np.ndarray) -> pa.RecordBatch:
-    """Distinct grams and words of the texts, with their number in those that train."""
+def _sums(texts: list[bytes], trains: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Distinct grams and words of the texts, with their number in those that train, in slices."""
     keys, n = count_grams(texts, trains)
     words: Counter = Counter()
     rest: set = set()
     for text, yes in zip(texts, trains, strict=True):
         (words if yes else rest).update(text.lower().split())
     rest.difference_update(words)
-    every = np.concatenate([keys, word_keys(list(words)), word_keys(list(rest))])
-    counts = np.concatenate([n, np.fromiter(words.values(), np.int64, len(words)), np.zeros(len(rest), np.int64)])
-    return pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(counts.astype(np.int64))], schema=COUNTS)
+    for k, c in (
+        (keys, n),
+        (word_keys(list(words)), np.fromiter(words.values(), np.int64, len(words))),
+        (word_keys(list(rest)), np.zeros(len(rest), np.int64)),
+    ):
+        for at in range(0, len(k), SLICE):
+            part = [pa.array(k[at : at + SLICE].view(np.int64)), pa.array(c[at : at + SLICE].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(part, schema=COUNTS)
 
 
 def _partial(limit: int):
@@ -118,10 +128,10 @@ def _partial(limit: int):
                 trains.append(y)
                 size += len(t) + 1
                 if size >= limit:
-                    yield _sums(texts, np.array(trains, bool))
+                    yield from _sums(texts, np.array(trains, bool))
                     texts, trains, size = [], [], 0
         if texts:
-            yield _sums(texts, np.array(trains, bool))
+            yield from _sums(texts, np.array(trains, bool))
 
     return run
 
@@ -337,7 +347,6 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OU
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), trains.alias("trains"))
     size = rows.agg(F.sum(F.octet_length("text") + 1), F.sum(F.col("trains").cast("long"))).first()
     blocks = max(1, -(-(size[0] or 0) // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
     sums = durable(rows.select("text", "trains").mapInArrow(_partial(block_bytes), ddl(COUNTS)).groupBy("key").agg(F.sum("n").alias("n")))
     words = sums.where("key < 0")
     total = words.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
