@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,8 +38,10 @@ from crosswind.session import durable
 
 DEPTH = 5
 END = 0xFF
-#: Text that a task holds at a time; its distinct keys, their counts and one merge of them take about 25 times as much.
-BLOCK_BYTES = 16 << 20
+#: Text that a task holds at a time; with the distinct keys of its chunks and their counts it takes about seven times as much.
+BLOCK_BYTES = 24 << 20
+#: Text that is scored at a time.
+SCORED_BYTES = 1 << 19
 #: Rows of a record batch of keys.
 SLICE = 1 << 16
 FOLDS, HELD_OUT = 5, 1
@@ -73,8 +76,11 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-def count_grams(texts: list[bytes], trains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams of the texts, in order, and how often they occur in texts that train."""
+def count_slices(texts: list[bytes], trains: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct grams of the texts, in order, and how often they occur in texts that train, some SLICE at a time.
+
+    Every chunk's distinct grams wait in order; they are merged range by range, so that no merge holds them all twice.
+    """
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     for a, b in chunked(texts):
         for seen in (True, False):
@@ -83,11 +89,22 @@ def count_grams(texts: list[bytes], trains: np.ndarray) -> tuple[np.ndarray, np.
                 g = np.sort(grams(some)[0])
                 at = _runs(g)
                 n = np.diff(np.append(at, len(g))) if seen else np.zeros(len(at), np.int64)
-                parts.append((g[at], n))
-        # like sizes merge as they come, so that each key is merged a logarithm of times and few parts wait
-        while len(parts) > 1 and len(parts[-2][0]) <= 2 * len(parts[-1][0]):
-            parts[-2:] = [_merged(parts[-2:])]
-    return _merged(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                parts.append((g[at], n.astype(np.int32)))
+    if not parts:
+        return
+    largest = max((k for k, _ in parts), key=len)
+    step = max(1, SLICE * len(largest) // max(sum(len(k) for k, _ in parts), 1))
+    cuts = [np.concatenate(([0], np.searchsorted(k, largest[step::step]), [len(k)])) for k, _ in parts]
+    for i in range(len(cuts[0]) - 1):
+        keys, n = _merged([(k[c[i] : c[i + 1]], n[c[i] : c[i + 1]]) for (k, n), c in zip(parts, cuts, strict=True)])
+        if len(keys):
+            yield keys, n.astype(np.int64)
+
+
+def count_grams(texts: list[bytes], trains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All slices of ``count_slices`` together."""
+    found = list(count_slices(texts, trains))
+    return (np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 WORD = 1 << 63  # the top bit tells words from grams; as a long, words are negative
@@ -103,17 +120,14 @@ COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
 def _sums(texts: list[bytes], trains: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Distinct grams and words of the texts, with their number in those that train, in slices."""
-    keys, n = count_grams(texts, trains)
     words: Counter = Counter()
     rest: set = set()
     for text, yes in zip(texts, trains, strict=True):
         (words if yes else rest).update(text.lower().split())
     rest.difference_update(words)
-    for k, c in (
-        (keys, n),
-        (word_keys(list(words)), np.fromiter(words.values(), np.int64, len(words))),
-        (word_keys(list(rest)), np.zeros(len(rest), np.int64)),
-    ):
+    of_words = ((word_keys(list(words)), np.fromiter(words.values(), np.int64, len(words))), (word_keys(list(rest)), np.zeros(len(rest), np.int64)))
+    del words, rest
+    for k, c in chain(of_words, count_slices(texts, trains)):
         for at in range(0, len(k), SLICE):
             part = [pa.array(k[at : at + SLICE].view(np.int64)), pa.array(c[at : at + SLICE].astype(np.int64))]
             yield pa.RecordBatch.from_arrays(part, schema=COUNTS)
@@ -310,7 +324,7 @@ def _score_block(below: float, ends: int):
         order = np.argsort(keys)
         keys, v = keys[order], v[order]
         score, base, n_tokens, n_known = (np.zeros(len(texts)) for _ in range(4))
-        for a, b in chunked(texts):
+        for a, b in chunked(texts, SCORED_BYTES):
             x, owner = grams(texts[a:b])
             x = np.sort(x << np.uint64(16) | owner.astype(np.uint64))  # 48 bits of gram, 16 of owner
             gram, owner = x >> np.uint64(16), (x & np.uint64(65535)).astype(np.int64)
