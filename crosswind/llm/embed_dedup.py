@@ -8,7 +8,7 @@ Each label has a depth of `bits`: vectors that share that many first signs of a
 inside the window; a larger one is compared whole, in pairs of blocks of WIDE. So a pass finds every pair that shares a cell, and
 a pair at the threshold does so with probability agree ** bits, agree = 1 - angle / 180 degrees, however the vectors lie.
 `passes_for` takes as many passes as RECALL needs at that depth. `planned` measures the cells of every depth over all rows and takes the
-cheapest for each label; depth 0 is one exact comparison of the whole label, which is cheapest up to some ten thousand vectors.
+cheapest for each label; a label that fits the window is one cell. Every other label goes through its passes, whatever its size.
 
 Windows only have to connect a group, not to show all its pairs: an exact check follows that counts all links inside
 each component, blocks of BLOCK vectors against one another. A pair of blocks is skipped or counted as a whole where the
@@ -33,10 +33,10 @@ THRESHOLD = 0.93
 WINDOW = 64
 BLOCK = 512
 BITS = 48
-RECALL = 0.995
+RECALL = 0.9999
 WIDE = 2048
 #: Depths that a label may take, and the passes that measure their cells.
-DEPTHS = range(0, BITS + 1, 3)
+DEPTHS = (1, 2, *range(3, BITS + 1, 3))
 MEASURED = 2
 #: What moving a vector to another task costs, in comparisons of two vectors.
 MOVE = 4096
@@ -94,17 +94,15 @@ def planned(classes: DataFrame, threshold: float = THRESHOLD, window: int = WIND
     sizes = durable(classes.groupBy("label", "dim").agg(F.count("*").alias("n")))
     ways = F.array(*[F.struct(F.lit(b).alias("bits"), F.lit(passes_for(b, threshold)).alias("passes")) for b in DEPTHS])
     grid = sizes.where(F.col("n") > window).select("label", "dim", "n", F.explode(ways).alias("way")).select("label", "dim", "n", "way.*")
-    moves = F.col("passes") * F.col("n") * move
-    grid = durable(grid.where((F.col("bits") == 0) | (moves < _whole(F.col("n"), move))))
-    deep = grid.where("bits > 0")
-    tried = classes.join(deep.select("label", "dim").distinct(), ["label", "dim"], "left_semi")
+    grid = durable(grid)
+    tried = classes.join(grid.select("label", "dim").distinct(), ["label", "dim"], "left_semi")
     names = ["turn", "label", "dim", "key"]
     keyed = tried.select("label", "dim", "embedding", F.lit(MEASURED).alias("passes")).mapInPandas(_keys(names), "turn int, label long, dim int, key long")
     keyed = keyed.groupBy(*names).agg(F.count("*").alias("c"))
-    cells = keyed.join(deep.select("label", "dim", "bits"), ["label", "dim"]).groupBy("label", "dim", "bits", "turn", _cell().alias("cell")).agg(F.sum("c").alias("size"))
+    cells = keyed.join(grid.select("label", "dim", "bits"), ["label", "dim"]).groupBy("label", "dim", "bits", "turn", _cell().alias("cell")).agg(F.sum("c").alias("size"))
     cells = cells.where(F.col("size") > window).groupBy("label", "dim", "bits").agg((F.sum(_whole(F.col("size"), move)) / MEASURED).alias("large"))
-    large = F.when(F.col("bits") == 0, _whole(F.col("n"), move)).otherwise(moves + F.col("passes") * F.coalesce("large", F.lit(0.0)))
-    best = grid.join(cells, ["label", "dim", "bits"], "left").groupBy("label", "dim").agg(F.min(F.struct(large.alias("cost"), "bits", "passes", "n")).alias("w"))
+    cost = F.col("passes") * F.col("n") * move + F.col("passes") * F.coalesce("large", F.lit(0.0))
+    best = grid.join(cells, ["label", "dim", "bits"], "left").groupBy("label", "dim").agg(F.min(F.struct(cost.alias("cost"), "bits", "passes", "n")).alias("w"))
     small = sizes.where(F.col("n") <= window).select("label", "dim", "n", F.lit(0).alias("bits"), F.lit(1).alias("passes"))
     return durable(small.union(best.select("label", "dim", "w.n", "w.bits", "w.passes")))
 
@@ -180,9 +178,7 @@ def window_links(classes: DataFrame, plan: DataFrame, threshold: float = THRESHO
         rows.append((r["part"], start))
         start += r["n"]
     first = spark.createDataFrame(rows, "part int, start long")
-    # a label of one large cell is compared whole below
-    sorted_in = placed.where((F.col("bits") > 0) | (F.col("n") <= window))
-    whole = sorted_in.join(first, "part").withColumn("place", F.col("start") + F.col("place")).select("turn", "label", "dim", "id", "embedding", "place")
+    whole = placed.join(first, "part").withColumn("place", F.col("start") + F.col("place")).select("turn", "label", "dim", "id", "embedding", "place")
     at = F.floor(F.col("place") / block)
     halo = F.when(F.col("place") % block < window, F.array(at, at - 1)).otherwise(F.array(at))
     near = whole.withColumn("block", F.explode(halo)).groupBy("block").applyInPandas(_stars(threshold, window), "u long, v long")
@@ -257,20 +253,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, move: int
     """One row per vector: vec_id, n_links, component_id, kept.
 
     A vector that is null, zero or not finite, or whose label is null, links with nothing and is its own component. Vectors of
-    different length link with nothing between them. Repeated rows are vectors of their own that link with each other.
+    different length link with nothing between them. Repeated rows are vectors of their own that link with each other. Rows of one
+    vec_id with different vectors or labels are told apart. Null ids link like any other but name no component: one of null ids
+    alone is null, and so is `kept` of a null id.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.withColumn("good", valid() & F.col("label").isNotNull())
-    classes = rows.where("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
-    classes = durable(classes.where("id is not null").withColumn("dim", F.size("embedding")))
-    group = None if classes.isEmpty() else components(window_links(classes, planned(classes, threshold, move=move), threshold))
-    if group is None:
-        linked = classes.select("id", F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("long").alias("links"))
+    # a class of copies has an id of its own, as a vec_id may repeat or be null; writing fixes it
+    classes = rows.where("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
+    classes = durable(classes.withColumn("dim", F.size("embedding")).withColumn("id", F.monotonically_increasing_id()))
+    if classes.isEmpty():
+        linked = classes.select("id", F.col("low").alias("lowest"), F.lit(None).cast("long").alias("links"))
     else:
-        group = durable(group)
-        linked = group.join(link_counts(classes, group, threshold), "id", "left")
+        group = durable(components(window_links(classes, planned(classes, threshold, move=move), threshold)))
+        lowest = group.join(classes.select("id", "low"), "id").groupBy("component_id").agg(F.min("low").alias("lowest"))
+        linked = group.join(lowest, "component_id").join(link_counts(classes, group, threshold), "id", "left").select("id", "lowest", "links")
     found = classes.join(linked, "id", "left").select(
-        F.col("label").alias("l"), F.col("embedding").alias("e"), F.coalesce("links", "n").alias("links"), F.coalesce("component_id", "id").alias("c")
+        F.col("label").alias("l"), F.col("embedding").alias("e"), F.coalesce("links", "n").alias("links"), F.coalesce("lowest", "low").alias("c")
     )
     joined = rows.join(found, rows.good & (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
     component = F.coalesce("c", "vec_id")
