@@ -9,9 +9,10 @@ chunk at once:
 1. WAND's test on whole lists: a passage whose words' greatest impacts sum to less than the threshold is left out.
 2. The same on blocks: only (passage, block) pairs whose block maxima reach the threshold go on.
 3. Their postings are added up exactly, and every entry at or above the threshold is retrieved; the bounds never lose one.
-4. Retrieved items are verified by their word shingles. A document holds an item if OVERLAP of the whole item's shingles stand in one
-   passage, or OVERLAP of its question's in one passage and OVERLAP of its answer's anywhere in the document. A question alone counts
-   too, as it gives the item away, if it has SHINGLE words at least; a shorter one needs its answer.
+4. Retrieved items are verified by their word shingles. A document holds an item if OVERLAP of the whole item's shingles stand in a stretch
+   of as many words as the item has, or OVERLAP of its question's in a stretch of the question's length and OVERLAP of its answer's anywhere
+   in the document. A question alone counts too, as it gives the item away, if it has SHINGLE words at least; a shorter one needs its answer.
+   A stretch depends on the item alone, and every stretch lies in a passage, so other items of the index change nothing.
 
 The index is sent to the workers, so it is built for POSTINGS postings at a time at most (documented bound; about 40 MB); a
 larger benchmark takes several passes over the documents. Word statistics are those of all items.
@@ -65,6 +66,24 @@ def share(part: list[str], passage: list[str]) -> float | None:
     return len(own & shingles(passage, size)) / len(own)
 
 
+def nearest_share(part: list[str], passage: list[str]) -> float:
+    """The greatest share of a part's shingles in a stretch of the passage that has the part's length."""
+    size = min(SHINGLE, len(part))
+    own = shingles(part, size)
+    at = [(i, x) for i in range(len(passage) - size + 1) if (x := tuple(passage[i : i + size])) in own]
+    held: Counter = Counter()
+    best, left = 0, 0
+    for i, x in at:
+        held[x] += 1
+        while at[left][0] < i - (len(part) - size):
+            held[at[left][1]] -= 1
+            if not held[at[left][1]]:
+                del held[at[left][1]]
+            left += 1
+        best = max(best, len(held))
+    return best / len(own)
+
+
 def least_score(tokens: list[str], impact: dict[str, float]) -> float:
     """A bound below which no text with OVERLAP of the shingles can score, as a share of the score of all words.
 
@@ -166,8 +185,8 @@ class Index:
         for (n, item), places in found.items():
             name, question, answer, whole = self.items[item]
             passages = [texts[n][max(start, 0) : start + 2 * self.longest] for start in {start for start, _ in places}]
-            overlap = max(share(whole, p) for p in passages)
-            asked = max((share(question, p) for p in passages), default=None) if question else None
+            overlap = max(nearest_share(whole, p) for p in passages)
+            asked = max((nearest_share(question, p) for p in passages), default=None) if question else None
             told = None
             if overlap >= OVERLAP or (asked or 0) >= OVERLAP:
                 told = share(answer, texts[n])
@@ -246,7 +265,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """One row per document and item that it holds: doc_id, item_id, score, overlap, question_overlap, answer_overlap.
 
     A document holds an item by the rule of step 4 above: the whole item or its question in one passage, a question of less than SHINGLE
-    words only with its answer. `overlap` and `question_overlap` are the greatest shares in a passage that was retrieved, `answer_overlap`
+    words only with its answer. `overlap` and `question_overlap` are the greatest shares in a stretch of a passage that was retrieved, `answer_overlap`
     is that of the document (null if the item has one sentence), `score` the greatest of the item's entries. Null and empty texts and items match
     nothing. Repeated rows give one row with the highest values. No benchmark or no documents: an empty result.
     """
@@ -259,7 +278,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item, with the columns they came with."""
+    """The documents that hold no item, with the columns they came with, of any name.
+
+    Null and empty texts hold nothing and stay; repeated rows stay or go together. Null and empty items match nothing. No benchmark:
+    all documents stay; no documents: an empty result.
+    """
 
     def clean(index: Index):
         def run(batches):
