@@ -85,17 +85,24 @@ def weights(docs: DataFrame, evenness: float = EVENNESS, repeats: float = REPEAT
     return sources.select("source", "tokens", weight.alias("weight"), (weight * F.lit(float(budget))).alias("target"))
 
 
+#: The columns that the mix adds.
+MIX = ("mix_tokens", "mix_epoch", "mix_place", "mix_weight")
+
+
 def mix(docs: DataFrame, evenness: float = EVENNESS, repeats: float = REPEATS, budget: float | None = None, share: float = BUDGET, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
     """The chosen rows of `docs` with all their columns and mix_tokens, mix_epoch, mix_place, mix_weight.
 
     Order by mix_place for the mixed sequence. Null text and texts without words have no tokens and are not chosen. Repeated
-    rows are documents of their own. An empty table, or one without tokens, gives an empty result.
+    rows are documents of their own. An empty table, or one without tokens, gives an empty result. Columns of `docs` with the names of
+    the mix's are replaced by them; all others pass through.
     """
-    names = docs.columns
-    rows = docs.select(*names, F.col("source").cast("string").alias("_source"), token_count(F.col("text")).alias("mix_tokens")).where("mix_tokens > 0")
+    names = [c for c in docs.columns if c not in MIX]
     key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
-    # a hash of the text settles the order of documents with one id
-    rows = rows.withColumn("_key", key).withColumn("_tie", F.xxhash64(F.col("text").cast("string"))).withColumn("_block", F.pmod("_key", F.lit(blocks)).cast("int"))
+    # the row travels as one struct, so that its names cannot meet those used here; a hash of the text settles the order of documents with one id
+    rows = docs.select(
+        F.struct(*names).alias("_doc"), F.col("source").cast("string").alias("_source"), token_count(F.col("text")).alias("mix_tokens"),
+        key.alias("_key"), F.col("doc_id").alias("_number"), F.xxhash64(F.col("text").cast("string")).alias("_tie"),
+    ).where("mix_tokens > 0").withColumn("_block", F.pmod("_key", F.lit(blocks)).cast("int"))
     sums = durable(rows.groupBy("_source", "_block").agg(F.sum("mix_tokens").alias("block_tokens")))
     plan = durable(weights(sums.select(F.col("_source").alias("source"), F.col("block_tokens").alias("n_tokens")), evenness, repeats, budget, share))
     turns = sums.join(plan, F.col("_source").eqNullSafe(F.col("source"))).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.floor(F.col("target") / F.col("tokens")).cast("int"))))
@@ -105,8 +112,8 @@ def mix(docs: DataFrame, evenness: float = EVENNESS, repeats: float = REPEATS, b
         F.col("_source").alias("_s"), F.col("_block").alias("_b"), "mix_epoch", "_begin", "tokens", "target", F.col("weight").alias("mix_weight"), (F.col("target") - F.col("mix_epoch") * F.col("tokens")).alias("_left")
     )
     turns = turns.where("_begin < _left")
-    inside = Window.partitionBy("_source", "_block").orderBy("_key", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_source", "_block").orderBy("_key", "_number", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("_upto", F.sum("mix_tokens").over(inside))
     out = placed.join(turns, placed["_source"].eqNullSafe(turns["_s"]) & (F.col("_block") == F.col("_b"))).where("_begin + _upto <= _left")
     place = (F.col("mix_epoch") * F.col("tokens") + F.col("_begin") + F.col("_upto") - F.col("mix_tokens")) / F.col("target")
-    return out.select(*names, "mix_tokens", "mix_epoch", place.alias("mix_place"), "mix_weight")
+    return out.select("_doc.*", "mix_tokens", "mix_epoch", place.alias("mix_place"), "mix_weight")

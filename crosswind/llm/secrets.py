@@ -159,15 +159,19 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def mask_owned(docs: DataFrame, owner: str = "source", repository: str = "source") -> DataFrame:
-    """All documents with their columns; base finds that are no examples and owned candidates are masked (and n_chars, if there, is the new length)."""
-    names = docs.columns
+    """All documents with their columns; base finds that are no examples and owned candidates are masked (and n_chars, if there, is the new length).
+
+    Null and empty texts stay as they are, repeated rows are masked alike, and columns of any name pass through. An empty table stays empty.
+    """
     rows = scanned(docs, owner, repository)
     owned = to_mask(rows).groupBy("_row", F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set("span")).alias("_spans"))
     owned = durable(owned.withColumnRenamed("_row", "_key"))
-    here = docs.withColumn("_row", row_key())
-    joined = here.join(owned, (F.col("_row") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
-    text = F.when(F.col("_spans").isNotNull(), masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    out = joined.withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    # the row travels as one struct, so that its names cannot meet those used here
+    here = docs.select(F.struct(*docs.columns).alias("_doc"), row_key().alias("_row"))
+    joined = here.join(owned, (F.col("_row") == F.col("_key")) & F.col("_doc.doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    found, text = F.col("_spans").isNotNull(), F.col("_doc.text")
+    text = F.when(found, masked(text, F.col("_spans"))).otherwise(text)
+    out = F.col("_doc").withField("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withField("n_chars", F.when(found, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc.n_chars")))
+    return joined.select(out.alias("_doc")).select("_doc.*")

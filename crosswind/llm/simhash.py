@@ -152,7 +152,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component with all its columns: the smallest doc_id, then the smallest text hash; of repeated rows one."""
+    """One document of each component with all its columns: the smallest doc_id, then the smallest text hash; of repeated rows one.
+
+    Null and empty texts are one text; null ids come last. Columns of any name pass through. An empty table stays empty.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = pa.schema([*OUT, ("h", pa.int64())])
     run = per_document(lambda texts: [[_signed(fingerprint(t)) for t in texts]], out, ("doc_id", "h"))
@@ -162,7 +165,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     repeats = each.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h"] == b["h"])
     stay = durable(stay.join(repeats, same(stay, repeats), "left").select(stay["doc_id"].alias("_i"), stay["h"].alias("_h"), F.col("n").isNotNull().alias("_many")))
-    here = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(-1))))
-    hit = here.join(stay, (F.col("_key") == F.col("_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_i")))
+    # the row travels as one struct, so that its names cannot meet those used here
+    key = F.xxhash64(F.col("text").cast("string"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(-1)))
+    here = docs.select(F.struct(*docs.columns).alias("_doc"), key.alias("_key"))
+    hit = here.join(stay, (F.col("_key") == F.col("_h")) & F.col("_doc.doc_id").cast("long").eqNullSafe(F.col("_i")))
     # rows that repeat as a whole are the only case of more than one row for an id and text
-    return hit.where("not _many").select(*docs.columns).union(hit.where("_many").dropDuplicates(["_i", "_h"]).select(*docs.columns))
+    return hit.where("not _many").select("_doc.*").union(hit.where("_many").dropDuplicates(["_i", "_h"]).select("_doc.*"))
