@@ -395,5 +395,5 @@ def materialize(spark: SparkSession, composite: DataFrame, factor_id: str, path:
     from crosswind.sources import values as V
 
     V.write_values(V.to_rows(composite, factor_id, factor_id, "root", 0), path)
-    stored = V.factor_values(V.read_values(spark, path), [factor_id], factor_id)
+    stored = V.factor_values(V.read_values(spark, path, [factor_id]), [factor_id], factor_id)
     return stored.withColumn("factor_id", F.lit(factor_id))

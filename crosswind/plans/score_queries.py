@@ -567,7 +567,7 @@ SIGNED = f"SELECT {KEY}, CASE WHEN is_st THEN return_5d * 2 ELSE return_5d END A
 
 @query("s16_factor_values_scan", panel_sql(SIGNED))
 def values_scan(spark, d):
-    return V.factor_values(V.read_values(spark, build_store(spark, d)), ["ftr_mom"], SIGNATURE)
+    return V.factor_values(V.read_values(spark, build_store(spark, d), ["ftr_mom"]), ["ftr_mom"], SIGNATURE)
 
 
 @query(
@@ -575,7 +575,7 @@ def values_scan(spark, d):
     panel_sql(SIGNED + f" UNION ALL SELECT {KEY}, return_5d FROM panel WHERE NOT is_st AND year(trade_date) < 1999"),
 )
 def unsigned_values(spark, d):
-    return V.factor_values(V.read_values(spark, build_store(spark, d)), ["FTR_MOM"], SIGNATURE, allow_unsigned=True)
+    return V.factor_values(V.read_values(spark, build_store(spark, d), ["FTR_MOM"]), ["FTR_MOM"], SIGNATURE, allow_unsigned=True)
 
 
 @query(

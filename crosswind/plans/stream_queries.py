@@ -54,7 +54,7 @@ def stream_values(spark, d):
         part.write.mode("append").parquet(arrive)
         stream = spark.readStream.schema(df.schema).parquet(arrive)
         W.stream_factor_values(stream, whole, store, mark, momentum(), SIGNATURE, lambda _: cross(spark, d)).awaitTermination()
-    return V.factor_values(V.read_values(spark, store), ["FTR-MOM"], SIGNATURE)
+    return V.factor_values(V.read_values(spark, store, ["FTR-MOM"]), ["FTR-MOM"], SIGNATURE)
 
 
 @query(

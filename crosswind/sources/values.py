@@ -42,6 +42,11 @@ def canonical_id(name):
     return F.regexp_replace(F.lower(F.trim(c.cast("string"))), "-", "_")
 
 
+def spelling(name: str) -> str:
+    """`canonical_id` of a name at hand."""
+    return name.strip(" ").lower().replace("-", "_")
+
+
 def to_rows(scores: DataFrame, factor_id: str, signature: str | None, layer: str, seq: int) -> DataFrame:
     return scores.select(
         *KEY,
@@ -63,8 +68,10 @@ def write_values(rows: DataFrame, path: str) -> None:
     store(rows.sparkSession, path).append(rows)
 
 
-def read_values(spark: SparkSession, path: str) -> DataFrame:
-    return store(spark, path).read()
+def read_values(spark: SparkSession, path: str, aliases: list[str] | None = None) -> DataFrame:
+    """All stored rows, or only the partitions of the factors that go by one of the aliases."""
+    wanted = None if aliases is None else {spelling(a) for a in aliases}
+    return store(spark, path).read(None if wanted is None else lambda k: k[0] is not None and spelling(k[0]) in wanted)
 
 
 def normalise_columns(df: DataFrame) -> DataFrame:
@@ -92,7 +99,7 @@ def factor_values(values: DataFrame, aliases: list[str], signature: str, allow_u
 
     Unsigned rows count only in the root layer and only when the caller allows them.
     """
-    wanted = [a.strip().lower().replace("-", "_") for a in aliases]
+    wanted = [spelling(a) for a in aliases]
     signed = F.col("formula_signature") == signature
     unsigned = F.lit(allow_unsigned) & F.col("formula_signature").isNull() & (F.col("layer") == "root")
     rows = values.where(canonical_id("factor_id").isin(wanted)).where(signed | unsigned)
@@ -128,10 +135,9 @@ def remove_factor(spark: SparkSession, path: str, factor_id: str, owners: DataFr
     ``owners`` lists (factor_id, owner_id): which registered ids rely on which stored factor. A spelling that another
     owner relies on, or that another registered id shares, stays.
     """
-    spelt = lambda x: x.strip().lower().replace("-", "_")  # noqa: E731  as canonical_id
-    own = spelt(factor_id)
+    own = spelling(factor_id)
     table = store(spark, path)
-    names = {key[0] for key in table.keys() if key[0] is not None and spelt(key[0]) == own}
+    names = {key[0] for key in table.keys() if key[0] is not None and spelling(key[0]) == own}
     if not own or not names:
         return 0
     other = owners.where(F.col("owner_id") != factor_id)
