@@ -49,8 +49,11 @@ class Tokenizer:
 
 def _encode(tokenizer: Tokenizer):
     def run(batches):
-        count = tokenizer.counter()
+        count, last = tokenizer.counter(), None
         for batch in batches:
+            names = batch.column("digest").to_pylist()
+            batch = batch.filter(pa.array([own != before for own, before in zip(names, [last, *names], strict=False)], pa.bool_()))
+            last = names[-1] if names else last
             texts, digests = batch.column("text").to_pylist(), batch.column("digest")
             for a, b in chunked(texts, 1 << 20):
                 yield pa.RecordBatch.from_arrays([digests.slice(a, b - a), pa.array(count(texts[a:b]), pa.int64())], schema=COUNTS)
@@ -58,12 +61,6 @@ def _encode(tokenizer: Tokenizer):
     return run
 
 
-def spoken(rows: DataFrame, misses: DataFrame) -> DataFrame:
-    """(digest, text), one row for each miss: that of its speaker, the smallest doc_id; rows that repeat the speaker are one."""
-    own = rows.join(misses, "digest").where(F.col("doc_id").eqNullSafe(F.col("speaker"))).select("digest", "text")
-    return own.dropDuplicates(["digest"])
-
-
 def count_tokens(docs: DataFrame, model: str, cache: str | None = None, limit: int = LIMIT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit.
 
@@ -78,7 +75,9 @@ def count_tokens(docs: DataFrame, model: str, cache: str | None = None, limit: i
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     keys = durable(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"))
+    # one speaker for each distinct miss; rows that repeat it come side by side, ordered by digest, and are encoded once
     misses = keys.join(stored(), "digest", "left_anti").groupBy("digest").agg(F.min("doc_id").alias("speaker"))
-    fresh = spoken(rows, misses).mapInArrow(_encode(tokenizer), ddl(COUNTS)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    asked = rows.join(misses, "digest").where(F.col("doc_id").eqNullSafe(F.col("speaker"))).select("digest", "text")
+    fresh = asked.mapInArrow(_encode(tokenizer), ddl(COUNTS)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     fresh.select("digest", F.lit(tokenizer.digest).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     return keys.join(stored(), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -1,5 +1,7 @@
 """Rows that repeat or share ids, and columns named like the operators' own."""
 
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from crosswind.llm import decontam, embed_dedup, mixing, secrets, simhash, token_cache
@@ -64,8 +66,10 @@ def test_op10_judges_an_item_by_its_own_length():
         assert [(r[0], r[1], r[3]) for r in index.verified([["y"] * 333 + words + ["z"] * 500, words[:36], words[:30]])] == [(0, 1, 1.0), (1, 1, 32 / 36)]
 
 
-def test_op9_encodes_each_content_once(spark):
-    rows = [(1, "a b")] * 60 + [(i, "a b") for i in range(2, 30)] + [(None, "alone")] * 4 + [(5, "other")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6).selectExpr("*", "unhex(sha2(text, 256)) as digest")
-    misses = df.groupBy("digest").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "speaker")
-    assert sorted(r["text"] for r in token_cache.spoken(df, misses).collect()) == ["a b", "alone", "other"]
+def test_op9_encodes_rows_that_repeat_once():
+    tokenizer = token_cache.Tokenizer(public_tokenizers.path("piece_bpe_32k.model"))
+    rows = [(b"a", "a b")] * 5 + [(b"c", "other")] + [(b"d", "")] * 3
+    batches = [pa.RecordBatch.from_pydict({"digest": [d for d, _ in part], "text": [t for _, t in part]}) for part in (rows[:2], [], rows[2:6], rows[6:])]
+    batches[1] = batches[0].slice(0, 0)
+    out = [r for batch in token_cache._encode(tokenizer)(batches) for r in batch.to_pylist()]
+    assert [r["digest"] for r in out] == [b"a", b"c", b"d"] and out[2]["n_tokens"] == 0 < out[0]["n_tokens"]
