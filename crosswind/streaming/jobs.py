@@ -17,7 +17,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from crosswind.operators.cross_section import CrossSection
 from crosswind.operators.ledgers import first_of, rejected_outcomes
-from crosswind.operators.scores import Factor, affected_keys, context_dates, restrict_to_keys, universe_mask
+from crosswind.operators.scores import Factor, affected_keys, context_dates, restrict_to_keys, spread, universe_mask
 from crosswind.session import durable
 from crosswind.sources import values as V
 from crosswind.sources.snapshots import SnapshotTable
@@ -96,7 +96,7 @@ class PanelStore:
             raise ValueError(f"{twice.count()} keys come with different rows in one batch")
         old = self.rows.snapshot()
         years = {(str(r["year"]),) for r in days.select("year").distinct().collect()}
-        stored = self.rows.read(lambda k: k in years, old).join(days.select("year", *ROW), ["year", *ROW], "left_anti")
+        stored = self.rows.read(lambda k: k in years, old).join(spread(days.select("year", *ROW)), ["year", *ROW], "left_anti")
         number = self.rows.replace(days.unionByName(stored), old=old).number
         merged = self.rows.read(lambda k: k in years)
         self.counts.replace(merged.groupBy("instrument", "year").agg(F.count(F.lit(1)).alias("n")))
@@ -116,7 +116,7 @@ class PanelStore:
                 spans = counts.select("instrument").distinct().select("instrument", F.lit(ends["lo"]).alias("lo"), F.lit(ends["hi"]).alias("hi"))
             if rows:
                 spans = _further(counts, spans, rows, forward)
-        found = counts.join(spans, "instrument").where(F.col("year").between(F.col("lo"), F.col("hi")))
+        found = counts.join(spread(spans), "instrument").where(F.col("year").between(F.col("lo"), F.col("hi")))
         return {str(r["year"]) for r in found.select("year").distinct().collect()}
 
     def read(self, years: set[str] | None = None) -> DataFrame:
@@ -125,13 +125,13 @@ class PanelStore:
 
 def _further(counts: DataFrame, spans: DataFrame, rows: int, forward: bool) -> DataFrame:
     """Spans of years that reach on until ``rows`` more rows of the instrument are inside, or it has none left."""
-    beyond = counts.join(spans, "instrument").where(F.col("year") > F.col("hi") if forward else F.col("year") < F.col("lo"))
+    beyond = counts.join(spread(spans), "instrument").where(F.col("year") > F.col("hi") if forward else F.col("year") < F.col("lo"))
     order = Window.partitionBy("instrument").orderBy(F.asc("year") if forward else F.desc("year"))
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     end = (F.max if forward else F.min)("year").alias("end")
     reached = beyond.withColumn("before", before).where(F.col("before") < rows).groupBy("instrument").agg(end)
     new = F.coalesce(F.col("end"), F.col("hi" if forward else "lo"))
-    return spans.join(reached, "instrument", "left").withColumn("hi" if forward else "lo", new).drop("end")
+    return spans.join(spread(reached), "instrument", "left").withColumn("hi" if forward else "lo", new).drop("end")
 
 
 def stream_factor_values(
@@ -155,7 +155,7 @@ def stream_factor_values(
         changed = keys.select("instrument", F.year("trade_date").alias("year")).distinct()
         whole = held.read(held.years_around(changed, factor.needs))
         if len(factor.needs) == 1:  # no cross-section: other instruments have no part in it
-            whole = whole.join(changed.select("instrument").distinct(), "instrument", "left_semi").select(*whole.columns)
+            whole = whole.join(spread(changed.select("instrument").distinct()), "instrument", "left_semi").select(*whole.columns)
         whole = durable(whole)
         new = durable(affected_keys(whole, keys, factor.needs))
         context = whole.join(context_dates(whole, new, factor.needs), "trade_date", "left_semi").select(*whole.columns)

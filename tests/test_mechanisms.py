@@ -163,3 +163,16 @@ def test_placebo_moves_each_row_once(spark):
     flat = frame.withColumn("score", F.when(F.col("trade_date") < "2024-01-05", 1.0).otherwise(F.col("score")))
     a, b = (falsify.placebo_percentile(flat, CrossSection(wide=w), 4, 8).first() for w in (False, True))
     assert a.evaluable_dates == b.evaluable_dates == 24 and a.percentile == b.percentile and abs(a.real_mean_ic - b.real_mean_ic) < 1e-12
+
+
+def test_tables_of_keys_are_never_broadcast(spark):
+    """A driver builds what is broadcast; keys grow with the panel."""
+    df = S.durable(panel(spark, SF).select("trade_date", "instrument", "close", F.col("return_5d").alias("score")))
+    keys = S.durable(df.where("close > 1000").select("trade_date", "instrument"))
+    found = C.affected_keys(df, keys, (5,))
+    for out in (C.restrict_to_keys(df, keys), C.missing_keys(df, keys), C.trusted_cache(df, df, 5), C.cache_only_scores(df, df), found):
+        assert "Broadcast" not in plan(out)
+    got, rows = {tuple(r) for r in found.collect()}, defaultdict(list)
+    for r in df.orderBy("trade_date").collect():
+        rows[r["instrument"]].append((r["trade_date"], r["close"] > 1000))
+    assert got == {(d, k) for k, own in rows.items() for i, (d, _) in enumerate(own) if any(c for _, c in own[max(0, i - 5) : i + 1])}
