@@ -176,3 +176,24 @@ def test_tables_of_keys_are_never_broadcast(spark):
     for r in df.orderBy("trade_date").collect():
         rows[r["instrument"]].append((r["trade_date"], r["close"] > 1000))
     assert got == {(d, k) for k, own in rows.items() for i, (d, _) in enumerate(own) if any(c for _, c in own[max(0, i - 5) : i + 1])}
+
+
+@pytest.mark.parametrize("shape", ["forest", "two parents", "cycle", "own parent"])
+def test_all_ancestors_equal_a_walk_and_trees_write_each_pair_once(spark, monkeypatch, shape):
+    edges = [(i, i // 3) for i in range(3, 200)] + [(1000 + i, 1001 + i) for i in range(11)]
+    edges += {"forest": [], "two parents": [(150, 7), (60, 4)], "cycle": [(1011, 1003)], "own parent": [(1, 1)]}[shape]
+    written = []
+    monkeypatch.setattr(L, "durable", lambda df, real=L.durable: written.append(real(df)) or written[-1])
+    got = L.ancestors(spark.createDataFrame(edges, "artifact_id long, parent long"))
+    rows, up, want = got.collect(), defaultdict(set), {}
+    for a, p in edges:
+        up[a].add(p)
+    for a in list(up):
+        at, depth = up[a], 1
+        while at:
+            new = {p for p in at if (a, p) not in want}
+            want |= {(a, p): depth for p in new}
+            at, depth = {q for p in new for q in up.get(p, ())}, depth + 1
+    assert len(rows) == len(want) and {(r["artifact_id"], r["ancestor"]): r["depth"] for r in rows} == want
+    if shape == "forest":
+        assert sum(df.count() for df in written) == len(rows)
