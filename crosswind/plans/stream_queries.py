@@ -34,9 +34,10 @@ def ingested(spark, d):
     """The ledger and the rejected rows after two runs of several micro-batches each; the second has a new checkpoint and replays everything."""
     arrive, ledger, rejected = (scratch_path(spark, n) for n in ("events", "ledger", "rejected"))
     events = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    events.repartition(3).write.parquet(arrive)
+    files = spark.sparkContext.defaultParallelism  # of each batch, so that every core reads
+    events.repartition(3 * files).write.parquet(arrive)
     for _ in range(2):
-        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arrive)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(arrive)
         W.stream_outcome_ingest(outcomes(stream), ledger, scratch_path(spark, "mark"), rejected).awaitTermination()
     schema = outcomes(events).schema
     return W.bucketed(spark, ledger, schema).read(), W.rejected_table(spark, rejected, schema).read()

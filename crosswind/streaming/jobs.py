@@ -41,14 +41,18 @@ def rejected_table(spark: SparkSession, path: str, outcomes: StructType) -> Snap
 
 
 def _add_once(table: SnapshotTable, rows: DataFrame, key: str, stream: str, batch_id: int) -> None:
-    """Append the rows whose key the table does not hold, the first of each key by ``seq``, unless this batch of the stream is in."""
+    """Append the rows whose key the table does not hold, the first of each key by ``seq``, unless this batch of the stream is in.
+
+    ``rows`` are read twice, so they should come from a stored table.
+    """
     old = table.snapshot()
     if old.applied.get(stream, -1) >= batch_id:
         return
-    rows = durable(rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
     touched = {(str(r["bucket"]),) for r in rows.select("bucket").distinct().collect()}
     held = table.read(lambda k: k in touched, old).select("bucket", key)
-    fresh = first_of(rows.join(held, ["bucket", key], "left_anti"), key)
+    # One exchange and one sort serve the anti-join and the choice of the first row.
+    fresh = first_of(rows.join(spread(held), ["bucket", key], "left_anti"), "bucket", key)
     crowded = [k for k in touched if len(old.parts.get(k, ())) >= FOLDERS]
     table.append(fresh, crowded, stream, batch_id, old)
 

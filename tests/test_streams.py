@@ -217,3 +217,17 @@ def test_partition_keys_survive_odd_values(spark):
     assert {r["v"] for r in table.read().collect()} == set(range(7))
     assert [r["v"] for r in table.read(lambda k: k[0] == "a/b").collect()] == [0]
     assert table.drop([("50%",), ("absent",)]) == 1 and table.read().count() == 6
+
+
+def test_a_batch_meets_its_ledger_in_one_exchange(spark, monkeypatch):
+    schema = spark.createDataFrame([], OUTCOME).schema
+    table = W.bucketed(spark, scratch_path(spark, "ledger"), schema)
+    batch = W.durable(spark.createDataFrame([(n, f"id{n % 50}", "local", "x") for n in range(100)], OUTCOME))
+    W._add_once(table, batch.where("seq % 50 < 30"), "outcome_id", "mark", 0)
+    taken = []
+    monkeypatch.setattr(W, "durable", None)  # the rows are stored already
+    monkeypatch.setattr(table, "append", lambda rows, *_: taken.append(rows))
+    W._add_once(table, batch, "outcome_id", "mark", 1)
+    plan = taken[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 2  # the rows and the ledger's keys
+    assert sorted(r["seq"] for r in taken[0].collect()) == list(range(30, 50))
