@@ -12,6 +12,7 @@ worker is encoded once and texts are put together from the words' ids; a test ho
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -39,6 +40,11 @@ PIECES = pa.schema(
 PLACES = pa.schema([("key", pa.int64()), ("length", pa.int64()), ("bin", pa.int64()), ("place", pa.int64()), ("open", pa.bool_())])
 
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
+#: A file with these rules lower-cases and parts a letter from the signs after it.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+RULES = ("NFC", "Replace", "Lowercase")
+#: A word that ends in an ASCII letter and signs; no apostrophe among them, and no < as in a special string.
+_TAIL = re.compile(rb"([^<0]*[A-Za-z])([!-&(-/:;=-@\[-`{-~]*)")
 
 
 class WordEncoder:
@@ -55,6 +61,7 @@ class WordEncoder:
         parting = self.tokenizer.encode("0", add_special_tokens=False).ids
         self.parting = parting[0] if len(parting) == 1 else None
         self.words: dict[bytes, bytes] = {}
+        self.tails = _parts_signs(json.loads(data))
 
     @classmethod
     def of(cls, data: bytes) -> "WordEncoder":
@@ -80,13 +87,25 @@ class WordEncoder:
                 raise ValueError("the tokenizer does not part words at white space")
             yield from zip(part, [raw[a:b] for a, b in zip([0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)], strict=True)], strict=True)
 
+    def _learn(self, unseen: set[bytes]) -> None:
+        """Ids of new words; where signs are parted from letters, words that differ in signs at the end or in case are encoded once."""
+        known, parted, plain = self.words, [], unseen
+        if self.tails:
+            found = [(w, m) for w in unseen if len(w) <= CACHED_BYTES and (m := _TAIL.fullmatch(w))]
+            parted = [(w, s.lower() if s.isascii() else s, tail) for w, (s, tail) in ((w, m.groups()) for w, m in found)]
+            known[b""] = b""
+            plain = unseen.difference(w for w, _ in found).union(s for _, s, _ in parted).union(t for _, _, t in parted).difference(known)
+        known.update(self._new_words(list(plain)))
+        for w, stem, tail in parted:
+            known[w] = known[stem] + known[tail]
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
         split = [t.split() for t in texts]
         known = self.words
         unseen = set(chain.from_iterable(split)).difference(known)
-        known.update(self._new_words(list(unseen)))
+        self._learn(unseen)
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         for w in unseen:
             if len(w) > CACHED_BYTES:
@@ -104,6 +123,13 @@ class WordEncoder:
         return b"".join(out)
 
 
+def _parts_signs(file: dict) -> bool:
+    rules = [n["type"] for n in (file.get("normalizer") or {}).get("normalizers", [])]
+    split = (file.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+    way = (split.get("pattern", {}).get("Regex"), split.get("behavior"), split.get("invert"))
+    return tuple(rules) == RULES and way == (PARTS, "Removed", True) and all(t["content"].startswith("<") for t in file.get("added_tokens", []))
+
+
 def _cut(data: bytes, capacity: int, end: int):
     def run(batches):
         encode, last = WordEncoder.of(data), np.array([end], "<u4").tobytes()

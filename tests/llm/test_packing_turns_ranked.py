@@ -337,3 +337,14 @@ def test_op13_edges(spark, real):
     assert rows_of(ranked.search(a, b, postings=40)) == want  # several parts
     assert rows_of(ranked.search(a, b, k=3)) == plain_search(docs, items, 3)
     assert ranked.search(a.where("doc_id = -1"), b).count() == 0 and ranked.search(a, b.where("item_id = -1")).count() == 0
+
+
+def test_words_that_differ_in_signs_or_case_are_encoded_once(monkeypatch):
+    with open(WORD_BPE, "rb") as f:
+        encode = packing.WordEncoder(f.read())
+    sent, real = [], encode._encoded
+    monkeypatch.setattr(encode, "_encoded", lambda texts: sent.extend(texts) or real(texts))
+    text = "Gutter gutter, gutter. GUTTER&&& it's It's, dogs' <|endoftext|> gutter<|endoftext|> É, é. x'll! a,b; A,b"
+    got = encode([text.encode()])[0]
+    assert np.array(encode.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == got
+    assert sum(t.lower().split().count(b"gutter") for t in sent) == 1
