@@ -197,3 +197,13 @@ def test_all_ancestors_equal_a_walk_and_trees_write_each_pair_once(spark, monkey
     assert len(rows) == len(want) and {(r["artifact_id"], r["ancestor"]): r["depth"] for r in rows} == want
     if shape == "forest":
         assert sum(df.count() for df in written) == len(rows)
+
+
+def test_steps_of_the_wide_nested_factor_store_no_column_it_does_not_read(spark, monkeypatch):
+    from crosswind.plans.score_queries import nested
+
+    stored = []
+    monkeypatch.setattr(S, "durable", lambda df, real=S.durable: stored.append(set(df.columns)) or real(df))
+    nested(spark, SF, CrossSection(wide=True))
+    spare = {"amount", "close", "industry", "market_cap", "return_1d", "volatility_5d"}
+    assert stored and not any(columns & spare for columns in stored)
