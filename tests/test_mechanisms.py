@@ -1,9 +1,11 @@
 """What a plan or a loop must look like at scale, and greedy or iterative rules against plain Python."""
 
+import hashlib
 import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +167,28 @@ def test_placebo_moves_each_row_once(spark):
     assert a.evaluable_dates == b.evaluable_dates == 24 and a.percentile == b.percentile and abs(a.real_mean_ic - b.real_mean_ic) < 1e-12
 
 
+def test_hash_places_of_many_rows_are_those_of_md5():
+    """Names of all lengths, beyond one stretch and beyond one block of the hash."""
+    names = sorted({f"S{i:0{i % 9 + 6}d}".encode() for i in range(falsify.STRETCH + 40)} | {b"", "\u00e9".encode()})
+    prefixes = [b"7|1|2024-01-01|", b"7|50|2024-01-01|"]
+    for some in (names, [*names, b"x" * 39], [*names, b"x" * 40], [b"twice", b"twice"], [b""]):
+        want = [np.array(sorted(range(len(some)), key=lambda i: (hashlib.md5(p + some[i]).digest(), i))) for p in prefixes]
+        assert all((a == b).all() for a, b in zip(falsify._hash_orders(prefixes, some), want, strict=True))
+
+
+def test_falsification_takes_one_exchange_by_date(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(falsify, "durable", lambda df: stored.append(plan(df)) or S.durable(df))
+    rows = [(f"2024-01-{d:02d}", f"N{i}", None if i == d % 7 else float((i * 7 + d) % 13), None if d > 26 else 1.0 if d == 9 else float((i * 5 + d * d) % 11)) for d in range(1, 29) for i in range(20)]
+    rows += [(f"2024-02-{d:02d}", f"N{i}", float((i * d) % 17), float((i * 3 + d * d) % 7)) for d in range(1, 15) for i in range(20)]
+    frame = spark.createDataFrame(rows, "trade_date string, instrument string, score double, forward_return double").withColumn("trade_date", F.col("trade_date").cast("date"))
+    got, wide = ({(r.metric, r.segment): (r.value, r.observations) for r in falsify.falsification_report(frame, CrossSection(wide=w), 4, 8).collect()} for w in (False, True))
+    assert stored[0].count("FlatMapGroupsInArrow") == 1 and stored[0].count("Generate") == 0 and len(re.findall(r"Exchange ", stored[0])) == 2
+    assert got.keys() == wide.keys() and len(got) == 14 and got["real_rank_ic_mean", ""][1] == 39
+    for k, (value, n) in got.items():
+        assert wide[k][1] == n and (value == wide[k][0] or abs(value - wide[k][0]) < 1e-9), k
+
+
 def test_tables_of_keys_are_never_broadcast(spark):
     """A driver builds what is broadcast; keys grow with the panel."""
     df = S.durable(panel(spark, SF).select("trade_date", "instrument", "close", F.col("return_5d").alias("score")))
