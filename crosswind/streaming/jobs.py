@@ -6,8 +6,11 @@ again after a failure gives the tables it gave before.
 
 from __future__ import annotations
 
+import datetime as dt
+import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -179,7 +182,7 @@ class RunningEwm(StatefulProcessor):
     """EWMA per instrument over arriving days.
 
     The state is the last day, the last mean, the number of missing values since and the timer. A row at or before the last
-    seen day, or a day's second row, cannot enter a mean that is already out: it is passed on as `late` without a score. A name that
+    seen day, a day's second row, or one without a day, cannot enter a mean that is already out: it is passed on as `late` without a score. A name that
     sends nothing for ``idle_ms`` of processing time is reported once as `stopped`, with its last day and mean, and forgotten;
     rows that come later start anew. Without ``idle_ms`` no name stops.
     """
@@ -191,39 +194,39 @@ class RunningEwm(StatefulProcessor):
         self.handle, self.state = handle, handle.getValueState("running", EWM_STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, mean, gap, timer = self.state.get() if self.state.exists() else (None, None, 0, None)
-        new = pd.concat(list(rows), ignore_index=True).sort_values("trade_date", kind="mergesort", ignore_index=True)
-        late = new["trade_date"].duplicated()
-        if last is not None:
-            late |= new["trade_date"] <= last
-        raw = new.loc[~late, "score"].astype("float64")
-        new["score"] = float("nan")
-        if len(raw):
-            before = [] if mean is None else [mean, *[float("nan")] * gap]
-            means = pd.Series([*before, *raw]).ewm(span=self.span, adjust=False).mean().iloc[len(before) :].set_axis(raw.index)
-            present = raw.notna().to_numpy()
-            if present.any():
-                mean, gap = float(means.iloc[-1]), int(present[::-1].argmax())
-            elif mean is not None:
-                gap += len(raw)
-            last = new.loc[~late, "trade_date"].iloc[-1]
-            new["score"] = means.where(raw.notna()).reindex(new.index)
+        last, mean, gap, timer = self.state.get() or (None, None, 0, None)
+        new = [(day, float(x)) for part in rows for day, x in zip(part["trade_date"].tolist(), part["score"].astype("float64").tolist())]
+        days, means, late = [], [], []
+        alpha = 2.0 / (self.span + 1)
+        # One plain pass: a chain of pandas calls takes far longer than the few hundred rows of a name.
+        for day, x in sorted(new, key=lambda row: (row[0] is None, row[0] or dt.date.min)):
+            passed = day is None or (last is not None and day <= last)
+            if not passed:
+                last = day
+                if math.isfinite(x):
+                    kept = (1.0 - alpha) ** (gap + 1)
+                    mean, gap = x if mean is None else (kept * mean + alpha * x) / (kept + alpha), 0
+                elif mean is not None:
+                    gap += 1
+            days.append(day)
+            means.append(math.nan if passed or math.isnan(x) or mean is None else mean)
+            late.append(passed)
         if self.idle_ms is not None:
             if timer is not None:
                 self.handle.deleteTimer(timer)
             timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
             self.handle.registerTimer(timer)
         self.state.update((last, mean, gap, timer))
-        yield self._rows(new.assign(instrument=key[0], late=late, stopped=False))
+        yield self._rows(days, key[0], means, late, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last, mean, _, _ = self.state.get()
         self.state.clear()
-        yield self._rows(pd.DataFrame({"trade_date": [last], "instrument": [key[0]], "score": [mean], "late": [False], "stopped": [True]}))
+        yield self._rows([last], key[0], [mean], [False], True)
 
     @staticmethod
-    def _rows(df: pd.DataFrame) -> pd.DataFrame:
-        return df[["trade_date", "instrument", "score", "late", "stopped"]].astype({"score": "float64", "late": "bool", "stopped": "bool"})
+    def _rows(days: list, name: str, means: list, late: list, stopped: bool) -> pd.DataFrame:
+        return pd.DataFrame({"trade_date": days, "instrument": name, "score": np.array(means, "float64"), "late": np.array(late, bool), "stopped": stopped})
 
     def close(self) -> None:
         pass

@@ -1,10 +1,14 @@
 """Streams under corrections, replays, late rows and names that stop; the tables they write."""
 
 import datetime as dt
+import math
 import os
+import random
 import time
 from urllib.parse import unquote
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +235,35 @@ def test_a_batch_meets_its_ledger_in_one_exchange(spark, monkeypatch):
     plan = taken[0]._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 2  # the rows and the ledger's keys
     assert sorted(r["seq"] for r in taken[0].collect()) == list(range(30, 50))
+
+
+def test_running_ewm_is_the_batch_mean_without_pandas_steps(monkeypatch):
+    """Cut anywhere, with missing, infinite, repeated and undated rows; names are many, so a row costs no pandas call."""
+    held = {}
+
+    class Held:
+        get = staticmethod(lambda: held.get("state"))
+        exists = staticmethod(lambda: "state" in held)
+        update = staticmethod(lambda state: held.update(state=state))
+
+    rng = random.Random(5)
+    raw = pd.Series([rng.choice([None, math.inf, rng.random(), 2.0]) for _ in range(60)], dtype="float64")
+    want = raw.ewm(span=5, adjust=False).mean().where(raw.notna())
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=k) for k in range(60)]
+
+    def refuse(*_, **__):
+        raise AssertionError("pandas step")
+
+    for kind, name in ((pd.Series, "duplicated"), (pd.Series, "reindex"), (pd.DataFrame, "sort_values"), (pd.DataFrame, "assign")):
+        monkeypatch.setattr(kind, name, refuse)
+    for cuts in ([0, 60], [0, 1, 2, 30, 60], range(61)):
+        job, got = W.RunningEwm(5), []
+        job.state = Held
+        held.clear()
+        for a, b in zip(cuts, [*cuts][1:]):
+            part = pd.DataFrame({"trade_date": days[a:b], "score": raw[a:b].tolist()}).iloc[::-1]
+            more = pd.DataFrame({"trade_date": [days[b - 1], None], "score": [9.0, 9.0]})
+            (out,) = job.handleInputRows(("N",), iter([part, more]), None)
+            assert out["late"].sum() == 2 and out.loc[out["late"], "score"].isna().all() and (out["instrument"] == "N").all() and not out["stopped"].any()
+            got += out.loc[~out["late"], "score"].tolist()
+        assert np.allclose(got, want.to_numpy(), rtol=0, atol=1e-12, equal_nan=True)
