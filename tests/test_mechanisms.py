@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from crosswind import session
 from crosswind.functions import signals as S
 from crosswind.operators import backtest as B
 from crosswind.operators import candidates as R
@@ -19,6 +20,7 @@ from crosswind.operators import synthesis as M
 from crosswind.operators.cross_section import CrossSection
 from crosswind.plans.common import panel
 from crosswind.plans.synthesis_queries import MEMBERS, member_scores
+from crosswind.sources import panel as panels
 
 SF = "/root/testdata/sf0.001"
 
@@ -231,3 +233,14 @@ def test_steps_of_the_wide_nested_factor_store_no_column_it_does_not_read(spark,
     nested(spark, SF, CrossSection(wide=True))
     spare = {"amount", "close", "industry", "market_cap", "return_1d", "volatility_5d"}
     assert stored and not any(columns & spare for columns in stored)
+
+
+def test_snapshot_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """The tasks that drop repeats and count keys grow in number with the rows, so one of them does not grow."""
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    price = S.durable(spark.range(3000).selectExpr("'20240101' AS trade_date", "CAST(id DIV 2 AS STRING) AS ts_code", "CAST(id % 4 = 1 AS DOUBLE) AS close", "1.0D AS vol"))
+    basic = S.durable(price.selectExpr("trade_date", "ts_code", "close AS total_mv", "close AS circ_mv").where("close = 0").distinct())
+    found = panels.snapshot_conflicts(price, basic)
+    text = plan(found)
+    assert "hashpartitioning(trade_date#" in text and {int(n) for n in re.findall(r"ts_code#\d+, (\d+)\), REPARTITION_BY_NUM", text)} == {60, 30}
+    assert len(re.findall(r"Exchange ", text)) == 2 and {(r.source, r.copies) for r in found.collect()} == {("price", 2)} and found.count() == 750
