@@ -7,13 +7,15 @@ equal sums leave the smaller gap. Bins that end up full are done. The pieces of
 next round, so the waste is that of one block in the end, whatever the input. The rounds stop at one block, or when a round saves no bin.
 
 White space of ASCII parts words for this tokenizer family (it is dropped and nothing joins across it), so each distinct word of a
-worker is encoded once and texts are put together from the words' ids; a test holds this against the library on whole texts.
+worker is encoded once and texts are put together from the words' ids; a test holds this against the library on whole texts. Where the file's
+rules leave a word of lower-case letters alone, the library's model gets it without them.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterator
 from itertools import chain
 
@@ -43,8 +45,8 @@ _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: A file with these rules lower-cases and parts a letter from the signs after it.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 RULES = ("NFC", "Replace", "Lowercase")
-#: A word that ends in an ASCII letter and signs; no apostrophe among them, and no < as in a special string.
-_TAIL = re.compile(rb"([^<0]*[A-Za-z])([!-&(-/:;=-@\[-`{-~]*)")
+#: Signs that may follow a word's last letter, ASCII or Latin-1; no apostrophe among them, and no < as in a special string.
+_SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<")
 
 
 class WordEncoder:
@@ -61,7 +63,9 @@ class WordEncoder:
         parting = self.tokenizer.encode("0", add_special_tokens=False).ids
         self.parting = parting[0] if len(parting) == 1 else None
         self.words: dict[bytes, bytes] = {}
-        self.tails = _parts_signs(json.loads(data))
+        file = json.loads(data)
+        self.tails = _parts_signs(file)
+        self.bare = self.tokenizer.model if self.tails and _keeps_letters(file) else None
 
     @classmethod
     def of(cls, data: bytes) -> "WordEncoder":
@@ -71,6 +75,10 @@ class WordEncoder:
         return cls._held[data]
 
     def _encoded(self, texts: list[bytes]) -> list[bytes]:
+        if self.bare and all(t.isalpha() and t.islower() for t in texts):
+            # The rules leave lower-case ASCII letters as they are, so they go to the library's model at once.
+            found = [[t.id for t in self.bare.tokenize(w.decode())] for w in texts]
+            return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
@@ -79,6 +87,10 @@ class WordEncoder:
         odd = [w for w in words if b"0" in w or len(w) > CACHED_BYTES or self.parting is None]
         yield from zip(odd, self._encoded(odd), strict=True)
         plain = list(set(words).difference(odd)) if odd else words
+        if self.bare:
+            letters = [w for w in plain if w.isalpha() and w.islower()]
+            yield from zip(letters, self._encoded(letters), strict=True)
+            plain = list(set(plain).difference(letters))
         for i in range(0, len(plain), 20_000):
             part = plain[i : i + 20_000]
             raw = self._encoded([b" 0 ".join(part)])[0]
@@ -91,10 +103,21 @@ class WordEncoder:
         """Ids of new words; where signs are parted from letters, words that differ in signs at the end or in case are encoded once."""
         known, parted, plain = self.words, [], unseen
         if self.tails:
-            found = [(w, m) for w in unseen if len(w) <= CACHED_BYTES and (m := _TAIL.fullmatch(w))]
-            parted = [(w, s.lower() if s.isascii() else s, tail) for w, (s, tail) in ((w, m.groups()) for w, m in found)]
-            known[b""] = b""
-            plain = unseen.difference(w for w, _ in found).union(s for _, s, _ in parted).union(t for _, _, t in parted).difference(known)
+            known[b""], plain = b"", set()
+            for w in unseen:
+                stem = w.rstrip(_SIGNS) if len(w) <= CACHED_BYTES else b""
+                if not stem.isalpha():
+                    ends = stem[-1:].isalpha() or (stem[-2:-1] == b"\xc3" and stem[-1] not in b"\x97\xb7")
+                    if not ends or b"<" in stem or b"0" in stem:
+                        plain.add(w)
+                        continue
+                low = stem.lower() if stem.isascii() else stem
+                plain.add(low)
+                if low != w:
+                    tail = w[len(stem) :]
+                    plain.add(tail)
+                    parted.append((w, low, tail))
+            plain = plain.difference(known)
         known.update(self._new_words(list(plain)))
         for w, stem, tail in parted:
             known[w] = known[stem] + known[tail]
@@ -130,6 +153,11 @@ def _parts_signs(file: dict) -> bool:
     return tuple(rules) == RULES and way == (PARTS, "Removed", True) and all(t["content"].startswith("<") for t in file.get("added_tokens", []))
 
 
+def _keeps_letters(file: dict) -> bool:
+    rest = (file.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[1:]
+    return all((t["type"], t.get("add_prefix_space"), t.get("use_regex")) == ("ByteLevel", False, False) for t in rest)
+
+
 def _cut(data: bytes, capacity: int, end: int):
     def run(batches):
         encode, last = WordEncoder.of(data), np.array([end], "<u4").tobytes()

@@ -348,3 +348,15 @@ def test_words_that_differ_in_signs_or_case_are_encoded_once(monkeypatch):
     got = encode([text.encode()])[0]
     assert np.array(encode.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == got
     assert sum(t.lower().split().count(b"gutter") for t in sent) == 1
+
+
+def test_words_of_other_letters_part_from_signs_and_plain_words_skip_the_rules(monkeypatch):
+    with open(WORD_BPE, "rb") as f:
+        encode = packing.WordEncoder(f.read())
+    sent, real = [], encode._encoded
+    monkeypatch.setattr(encode, "_encoded", lambda texts: sent.extend(texts) or real(texts))
+    text = "así, así. así!! Así gutter, it'sé! é× é×, 5é; é<|endoftext|>, ÷÷, á, naïve̸. 0é, straße- " + "é" * 40 + ","
+    got = encode([text.encode()])[0]
+    assert np.array(encode.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == got
+    assert sum(t.split().count("así".encode()) for t in sent) == 1
+    assert b"gutter" in sent  # alone, so that the model gets it without the rules
