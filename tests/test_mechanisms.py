@@ -18,9 +18,11 @@ from crosswind.operators import ledgers as L
 from crosswind.operators import scores as C
 from crosswind.operators import synthesis as M
 from crosswind.operators.cross_section import CrossSection
+from crosswind.plans import QUERIES, score_queries
 from crosswind.plans.common import panel
 from crosswind.plans.synthesis_queries import MEMBERS, member_scores
 from crosswind.sources import panel as panels
+from crosswind.sources import values
 
 SF = "/root/testdata/sf0.001"
 
@@ -244,3 +246,54 @@ def test_snapshot_rows_are_dealt_by_their_number(spark, monkeypatch):
     text = plan(found)
     assert "hashpartitioning(trade_date#" in text and {int(n) for n in re.findall(r"ts_code#\d+, (\d+)\), REPARTITION_BY_NUM", text)} == {60, 30}
     assert len(re.findall(r"Exchange ", text)) == 2 and {(r.source, r.copies) for r in found.collect()} == {("price", 2)} and found.count() == 750
+
+
+def test_stored_scores_of_one_factor_are_kept_in_a_hash_table(spark):
+    rows = spark.createDataFrame([("k", 1.5, 3), ("k", None, 4), ("m", 2.5, 1), ("n", 7.0, None)], "instrument string, score double, seq bigint")
+    last = C.dedupe_last(rows, ["instrument"])
+    assert {tuple(r) for r in last.collect()} == {("k", None, 4), ("m", 2.5, 1), ("n", None, None)}
+    assert "SortAggregate" not in plan(last) and last.columns == rows.columns
+
+
+def test_the_value_store_and_the_sources_of_a_compaction_read_the_panel_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(score_queries, "panel", lambda s, d: made.append(s.read.parquet(f"{d}/lineitem.parquet")) or panel(s, d))
+    for name in ("s17_unsigned_value_policy", "s23_compact_factor_store"):
+        made.clear()
+        assert "l_shipdate" not in plan(QUERIES[name](spark, SF)) and len(made) == 1, name
+
+
+def test_a_compaction_brings_the_rows_of_a_key_together_once(spark):
+    rows = [("a", True, "F", 1.0), ("b", False, "f", 1.0), ("c", False, "F", 2.0), ("d", False, "g-1", 5.0), ("e", False, "G_1", 5.0)]
+    src = spark.createDataFrame([(*r, d, "N") for r in rows for d in ("2024-01-02", "2024-01-03")] + [("a", True, "F", 9.0, None, "N")],
+                                "source string, canonical boolean, factor_id string, factor_value double, trade_date string, instrument string")
+    report = values.compact_store(src)[1]
+    assert "Join" not in plan(report)
+    got = {(r.factor_key, r.source): (r.source_rows, r.conflict_rows, r.new_rows, r.action) for r in report.collect()}
+    assert got == {("f", "a"): (2, 2, 0, "canonical"), ("f", "b"): (2, 2, 0, "conflicted"), ("f", "c"): (2, 2, 0, "conflicted"),
+                   ("g_1", "d"): (2, 0, 2, "create"), ("g_1", "e"): (2, 0, 2, "create")}
+
+
+def test_dates_around_missing_scores_are_stored_step_by_step(spark):
+    """Below a ranked step the dates go by, not every key of every date."""
+    rows = [(f"2024-01-{d:02d}", f"N{i}") for d in range(1, 29) for i in range(5) if (d + i) % 6]
+    df = S.durable(spark.createDataFrame(rows, "trade_date string, instrument string").withColumn("trade_date", F.col("trade_date").cast("date")))
+    missing = S.durable(df.where("instrument = 'N3' and trade_date in ('2024-01-14', '2024-01-27')"))
+    own = defaultdict(list)
+    for d, i in sorted(rows):
+        own[i].append(d)
+    for stages in ((0, 2, 3), (1, 2), 2, (0, 0, 1)):
+        first, *below = (stages,) if isinstance(stages, int) else stages
+        want = {d for k, d in enumerate(own["N3"]) if {"2024-01-14", "2024-01-27"} & set(own["N3"][k : k + first + 1])}
+        for n in below:
+            want = {d for days in own.values() for k, d in enumerate(days) if want & set(days[k : k + n + 1])}
+        found = C.context_dates(df, missing, stages)
+        assert {str(r[0]) for r in found.collect()} == want, stages
+        assert "Exchange" not in plan(found)
+
+
+def test_only_stored_nulls_meet_the_warm_up(spark):
+    df = S.durable(spark.createDataFrame([(d, i, None if d == 3 or d < 2 else 1.0) for d in range(5) for i in ("a", "b")], "trade_date int, instrument string, score double"))
+    kept = C.trusted_cache(df, df, 1)
+    assert {tuple(r) for r in kept.collect()} == {(0, i, None) for i in "ab"} | {(d, i, 1.0) for d in (2, 4) for i in "ab"}
+    assert "LeftOuter" not in plan(kept) and "LeftSemi" in plan(kept)
