@@ -33,6 +33,12 @@ def member_scores(df):
     return df.select("trade_date", "instrument", F.inline(cells))
 
 
+def member_columns(df):
+    """The same three members, one row a key."""
+    cap = F.when(~F.col("is_st"), F.col("market_cap"))
+    return df.select("trade_date", "instrument", F.col("return_5d").alias("MOM"), F.col("volume").alias("VOL"), cap.alias("CAP"))
+
+
 SCORES_SQL = """
 ms0 AS (SELECT 'MOM' AS factor_id, trade_date, instrument, return_5d AS score FROM panel UNION ALL
         SELECT 'VOL', trade_date, instrument, volume FROM panel UNION ALL
@@ -67,7 +73,7 @@ def directed(spark, d, how="rank", df=None):
 
 def combined_apriori(spark, d, weights, minimum=None, df=None):
     df = panel(spark, d) if df is None else df
-    return M.composite(member_scores(df), MEMBERS, "zscore", cross(spark, d), weights, minimum)
+    return M.composite(member_columns(df), MEMBERS, "zscore", cross(spark, d), weights, minimum)
 
 
 register(
@@ -164,17 +170,21 @@ fdir AS (SELECT dir.factor_id, dir.trade_date, instrument, CASE WHEN weight IS N
 RANKED = (SCORES_SQL, standard_sql("rank"), SWEEP_SQL)
 
 
-def sweep(spark, d):
+def stored_panel(spark, d):
+    return durable(panel(spark, d).select("trade_date", "instrument", "close", "volume", "return_5d", "market_cap", "is_st"))
+
+
+def sweep(spark, d, df=None):
     """The sweep is read by several consumers, so it is kept once."""
-    df = durable(panel(spark, d).select("trade_date", "instrument", "close", "volume", "return_5d", "market_cap", "is_st"))
+    df = stored_panel(spark, d) if df is None else df
     cal = durable(B.calendar(df))
     xs = cross(spark, d)
     on_grid = M.directed_scores(M.signal_rows(member_scores(df), cal, PLAN), MEMBERS, "rank", xs)
     return M.period_ic_sweep(on_grid, df, cal, PLAN, xs), cal, directed(spark, d, "rank", df)
 
 
-def fitted(spark, d, method="ic_weighted"):
-    s, cal, dirs = sweep(spark, d)
+def fitted(spark, d, method="ic_weighted", df=None):
+    s, cal, dirs = sweep(spark, d, df)
     return M.fitted_weights(durable(s), cal, NAMES, PLAN, method), cal, dirs
 
 
@@ -202,8 +212,9 @@ def as_of(spark, d):
     panel_sql(f"SELECT {KEY}, ROUND(score, 6) AS score FROM comp", *RANKED, fitted_sql("ic_weighted"), composite_sql("weight", 2, source="fdir")),
 )
 def combined(spark, d):
-    w, cal, _ = fitted(spark, d)
-    out = M.composite(member_scores(panel(spark, d)), MEMBERS, "rank", cross(spark, d), M.weights_as_of(w, cal, NAMES), 2)
+    df = stored_panel(spark, d)
+    w, cal, _ = fitted(spark, d, df=df)
+    out = M.composite(member_columns(df), MEMBERS, "rank", cross(spark, d), M.weights_as_of(w, cal, NAMES), 2)
     return out.select("trade_date", "instrument", r6("score").alias("score"))
 
 
@@ -273,7 +284,7 @@ def universe(spark, d):
 
 def composite_run(spark, d):
     """Equal z-score composite, stored and read back, traded on the ten-row schedule."""
-    df = durable(panel(spark, d).select("trade_date", "instrument", "close", "volume", "return_5d", "market_cap", "is_st"))
+    df = stored_panel(spark, d)
     xs = cross(spark, d)
     comp = combined_apriori(spark, d, M.apriori_weights(NAMES), df=df)
     cid = M.composite_id(list(MEMBERS.items()), "equal", "zscore", 10)

@@ -18,9 +18,9 @@ from crosswind.operators import ledgers as L
 from crosswind.operators import scores as C
 from crosswind.operators import synthesis as M
 from crosswind.operators.cross_section import CrossSection
-from crosswind.plans import QUERIES, score_queries
+from crosswind.plans import QUERIES, score_queries, synthesis_queries
 from crosswind.plans.common import panel
-from crosswind.plans.synthesis_queries import MEMBERS, member_scores
+from crosswind.plans.synthesis_queries import MEMBERS, member_columns, member_scores
 from crosswind.sources import panel as panels
 from crosswind.sources import values
 
@@ -297,3 +297,20 @@ def test_only_stored_nulls_meet_the_warm_up(spark):
     kept = C.trusted_cache(df, df, 1)
     assert {tuple(r) for r in kept.collect()} == {(0, i, None) for i in "ab"} | {(d, i, 1.0) for d in (2, 4) for i in "ab"}
     assert "LeftOuter" not in plan(kept) and "LeftSemi" in plan(kept)
+
+
+def test_a_composite_of_columns_equals_the_long_way_without_a_pivot(spark):
+    df = S.durable(panel(spark, SF))
+    for how in ("zscore", "rank"):
+        for wide in (False, True):
+            out = [M.composite(f(df), MEMBERS, how, CrossSection(wide=wide), M.apriori_weights(list(MEMBERS)), 2) for f in (member_columns, member_scores)]
+            a, b = ({(r.trade_date, r.instrument): (None if r.score is None else round(r.score, 9), r.degenerate) for r in o.collect()} for o in out)
+            assert a == b and len(a) == df.count(), (how, wide)
+        text = plan(M.composite(member_columns(df), MEMBERS, how, CrossSection(), M.apriori_weights(list(MEMBERS))))
+        assert text.count("Exchange hashpartitioning") == 1 and "Aggregate" not in text and "Generate" not in text
+
+
+def test_a_fitted_composite_builds_the_panel_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(synthesis_queries, "panel", lambda s, d: made.append(d) or panel(s, d))
+    assert "l_shipdate" not in plan(QUERIES["m13_combine_fitted"](spark, SF)) and len(made) == 1
