@@ -14,11 +14,12 @@ from crosswind.functions import signals as S
 from crosswind.operators import backtest as B
 from crosswind.operators import candidates as R
 from crosswind.operators import cross_section, falsify
+from crosswind.operators import evaluate as E
 from crosswind.operators import ledgers as L
 from crosswind.operators import scores as C
 from crosswind.operators import synthesis as M
 from crosswind.operators.cross_section import CrossSection
-from crosswind.plans import QUERIES, score_queries, synthesis_queries
+from crosswind.plans import QUERIES, eval_queries, score_queries, synthesis_queries
 from crosswind.plans.common import panel
 from crosswind.plans.synthesis_queries import MEMBERS, member_columns, member_scores
 from crosswind.sources import panel as panels
@@ -89,6 +90,29 @@ def test_composite_equals_the_long_way(spark):
             assert rows(a) == rows(b)
 
 
+def test_rank_ics_of_many_horizons_send_a_row_to_its_date_once(spark):
+    text = plan(eval_queries.daily(spark, SF, eval_queries.FACTORS, eval_queries.ALL))
+    assert "hashpartitioning(trade_date" in text and "hashpartitioning(factor_id" not in text and "Generate" not in text
+
+
+def test_rank_ics_of_a_date_equal_the_ranks_of_the_long_frame(spark):
+    r = random.Random(9)
+    odd = [None, float("nan"), 0.0, -0.0, float("inf"), 1.5, 1.5, 2.0]
+    rows = [(f"2024-01-{1 + d:02d}", f"N{n}", r.choice([None, 0.0, 4.0, 5.0, r.uniform(4, 9)]), r.choice(odd), r.choice(odd[2:4]), None, r.randrange(3)) for d in range(28) for n in range(d % 12 + 1)]
+    df = spark.createDataFrame(rows, "trade_date string, instrument string, close double, a double, same double, none double, i int")
+    scores, horizons = {"A": "a", "S": "same", "N": "none", "I": "i"}, (1, 3)
+
+    def shown(daily):
+        return sorted((x.factor_id, x.horizon, x.trade_date, None if x.ic is None else round(x.ic, 9), x.joint_rows, x.raw_rows, x.score_rows, x.label_rows) for x in daily.collect())
+
+    long = shown(E.daily_rank_ic(E.label_scored_panel(df, scores, horizons), CrossSection()))
+    assert sum(x[3] is not None for x in long) > 40
+    for panel_df in (df, df.withColumn("i", F.col("i").cast("bigint"))):
+        for xs in (CrossSection(), CrossSection(wide=True)):
+            assert [x[:3] + x[4:] for x in shown(E.panel_rank_ic(panel_df, scores, horizons, xs))] == [x[:3] + x[4:] for x in long]
+        assert shown(E.panel_rank_ic(panel_df, scores, horizons, CrossSection())) == long
+
+
 def test_period_returns_equal_a_search_day_by_day(spark):
     r = random.Random(6)
     quotes = {(i, n): r.uniform(5, 9) for i in range(40) for n in "ABC" if r.random() < (0.9, 0.5, 0.2)["ABC".index(n)]}
