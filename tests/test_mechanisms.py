@@ -19,7 +19,7 @@ from crosswind.operators import ledgers as L
 from crosswind.operators import scores as C
 from crosswind.operators import synthesis as M
 from crosswind.operators.cross_section import CrossSection
-from crosswind.plans import QUERIES, eval_queries, score_queries, synthesis_queries
+from crosswind.plans import QUERIES, backtest_queries, eval_queries, score_queries, synthesis_queries
 from crosswind.plans.common import panel
 from crosswind.plans.synthesis_queries import MEMBERS, member_columns, member_scores
 from crosswind.sources import panel as panels
@@ -131,6 +131,34 @@ def test_period_returns_equal_a_search_day_by_day(spark):
     assert got == want
 
 
+def test_last_quotes_equal_a_search_day_by_day(spark):
+    r = random.Random(10)
+    quotes = {(i, n): r.uniform(5, 9) for i in range(30) for n in "ABC" if r.random() < (0.9, 0.5, 0.2)["ABC".index(n)] and (n, i) != ("B", 0)}
+    rows = [(f"2024-03-{1 + i:02d}", n, c) for (i, n), c in quotes.items()] + [(f"2024-03-{1 + i:02d}", "Z", None) for i in range(30)]
+    df = spark.createDataFrame(rows, "trade_date string, instrument string, close double")
+    got = {x.instrument: (x.first_idx, x.closes, x.quoted) for x in B.last_quotes(df, B.calendar(df)).collect()}
+    want = {}
+    for n in "ABC":
+        own = [i for i in range(30) if (i, n) in quotes]
+        days = range(own[0], 30)
+        want[n] = (own[0], [quotes[max(j for j in own if j <= i), n] for i in days], [i in own for i in days])
+    assert got == want
+
+
+def test_only_entry_days_move_and_members_meet_their_names_before_their_days(spark, monkeypatch):
+    plans = []
+
+    def keep(df, real=B.durable):
+        plans.append(plan(df))
+        return real(df)
+
+    monkeypatch.setattr(B, "durable", keep)
+    b = backtest_queries.backtest(spark, SF, True)
+    assert b.matched.count() and b.leg_marks.count()
+    assert not any("hashpartitioning(idx#" in p for p in plans)  # neither quotes by their day nor a row for each member and day
+    assert sum("hashpartitioning(run_id" in p and "is_long" in p for p in plans) > 0
+
+
 def test_cohorts_share_the_pass_over_the_panel(spark):
     df = panel(spark, SF).select("trade_date", "instrument", "close")
     cal = B.durable(B.calendar(df))
